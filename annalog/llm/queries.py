@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalog.llm import quality_rules, secret_scan, toxicity
+from annalog.llm import quality_rules, secret_scan, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes")
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the table has no time of capture: one second a page, from a fixed day
+    when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", when.alias("captured"))
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "place")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scan.scan(table(spark, sf_dir, "documents"))
     return secret_scan.digest(found)
@@ -39,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op9_secret_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op5_quality_rules, op7_warc_index, op9_secret_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
