@@ -34,7 +34,7 @@ BUCKETS = 1 << 17
 DIM = 4
 WINDOW = 8
 SIZES = (3, 4, 5)
-MAX_ROWS = 6000
+MAX_ROWS = 3000
 ROUNDS = 8
 
 
@@ -143,31 +143,29 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
         return Model(np.zeros_like(vectors), weights * 0, np.array([500.0, -500.0] if not toxic.any() else [0.0, 0.0], dtype=np.float32))
 
     # Words of all texts by hash; each distinct word once with its buckets.
-    hashes, first, kept_words = [], [0], []
+    # Blocks are small and ids narrow: all this is one task's memory.
+    hashes, first, names_of, counts_of, buckets_of = [], [0], [], [], []
     seen = np.zeros(0, np.uint64)
-    for _, _, data, offsets in bs.blocks(pa.array(texts, type=pa.large_binary())):
+    for _, _, data, offsets in bs.blocks(pa.array(texts, type=pa.large_binary()), 1 << 18):
         starts, ends, at = bs.words(data, offsets)
         h = bs.span_hash(bs.LOWER[data], starts, ends)
-        base = first[-1]
-        first += (at[1:] + base).tolist()
+        first += (at[1:] + first[-1]).tolist()
         hashes.append(h)
         distinct, where = np.unique(h, return_index=True)
         where = np.sort(where[~np.isin(distinct, seen)])
         owner, bucket = subwords(data, starts[where], ends[where])
-        kept_words.append((h[where], owner, bucket))
+        buckets_of.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts_of.append(np.bincount(owner, minlength=len(where)))
+        names_of.append(h[where])
         seen = np.concatenate([seen, h[where]])
     first = np.array(first)
-    h = np.concatenate(hashes)
-    names = np.concatenate([k[0] for k in kept_words])
-    shift = np.cumsum([0, *(len(k[0]) for k in kept_words)])
-    owner = np.concatenate([k[1] + s for k, s in zip(kept_words, shift, strict=False)])
-    bucket = np.concatenate([k[2] for k in kept_words])
-    order = np.argsort(owner, kind="stable")
-    owner, bucket = owner[order], bucket[order]
-    row = np.searchsorted(owner, np.arange(len(names) + 1))
+    h, names, bucket = np.concatenate(hashes), np.concatenate(names_of), np.concatenate(buckets_of)
+    row = np.concatenate([[0], np.cumsum(np.concatenate(counts_of))])
+    del hashes, names_of, counts_of, buckets_of, seen
     by_name = np.argsort(names)
-    token = by_name[np.searchsorted(names[by_name], h)]
-    document = bs.owners(first)
+    token = by_name[np.searchsorted(names[by_name], h)].astype(np.int32)
+    document = bs.owners(first).astype(np.int32)
+    del h
 
     # The first passages: where words stand that toxic texts hold oftener than others.
     pairs = np.unique(document.astype(np.int64) * len(names) + token)
@@ -183,7 +181,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
     balance = np.where(toxic == 1, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
     for r in range(rounds):
         if r:
-            share = (vectors @ (weights[1] - weights[0])).astype(np.float64)
+            share = vectors @ (weights[1] - weights[0])
             logits = np.add.reduceat(share[bucket], row[:-1]) / np.diff(row)
             means, begin = _windows(logits[token], first)
         best = np.repeat(np.maximum.reduceat(means, first[some]), np.diff(first)[some])
