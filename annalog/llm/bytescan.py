@@ -93,6 +93,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case words with one space before, between and after; where each word begins."""
+    lengths = ends - starts
+    at = np.cumsum(lengths + 1) - lengths
+    out = np.full(int(lengths.sum()) + len(lengths) + 1, 0x20, dtype=np.uint8)
+    inside = np.ones(len(out), dtype=bool)
+    inside[at - 1] = False
+    inside[-1] = False
+    keep = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(keep, starts, 1)
+    np.add.at(keep, ends, -1)
+    out[inside] = LOWER[data[np.cumsum(keep[:-1]) > 0]]
+    return out, at
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes; equal bytes give equal hashes anywhere."""
     powers, inverses = _powers(len(data))

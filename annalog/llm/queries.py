@@ -10,13 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalog.llm import chat, mixing, quality_rules, secret_scan, toxicity, warc
+from annalog.llm import chat, mixing, quality_rules, secret_scan, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.score(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes")
@@ -77,7 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op6_chat_format, op7_warc_index, op8_mixing, op9_secret_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op3_simhash, op5_quality_rules, op6_chat_format, op7_warc_index, op8_mixing, op9_secret_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

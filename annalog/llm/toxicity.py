@@ -52,26 +52,11 @@ class Model:
         return (self.vectors @ w).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case words with one space before, between and after; where each word begins."""
-    lengths = ends - starts
-    at = np.cumsum(lengths + 1) - lengths
-    out = np.full(int(lengths.sum()) + len(lengths) + 1, 0x20, dtype=np.uint8)
-    inside = np.ones(len(out), dtype=bool)
-    inside[at - 1] = False
-    inside[-1] = False
-    keep = np.zeros(len(data) + 1, dtype=np.int32)
-    np.add.at(keep, starts, 1)
-    np.add.at(keep, ends, -1)
-    out[inside] = bs.LOWER[data[np.cumsum(keep[:-1]) > 0]]
-    return out, at
-
-
 def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of every n-gram, and of every word as a whole; words in text order."""
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    text, at = _spaced(data, starts, ends)
+    text, at = bs.spaced(data, starts, ends)
     lengths = ends - starts
     solid = text != 0x20
     word_at = np.zeros(len(text), dtype=np.int64)
