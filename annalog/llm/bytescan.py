@@ -108,12 +108,17 @@ def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return out, at
 
 
+def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of 64-bit values; equal ranges give equal hashes anywhere."""
+    powers, inverses = _powers(len(values))
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers[: len(values)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes; equal bytes give equal hashes anywhere."""
-    powers, inverses = _powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_RANDOM[data] * powers[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    return range_hash(_RANDOM[data], starts, ends)
 
 
 def window_hash(h: np.ndarray, size: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalog.llm import chat, mixing, quality_rules, secret_scan, simhash, toxicity, warc
+from annalog.llm import chat, decontaminate, mixing, quality_rules, secret_scan, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,25 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+OP4_SQL = r"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bl as (select item_id, w, least(10, len(w)) as n from b where len(w) > 0),
+bw as (select distinct item_id, n, array_to_string(w[s : s + n - 1], ' ') as win from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as s from bl)),
+lens as (select distinct n from bw),
+dw as (select r, s, n, array_to_string(w[s : s + n - 1], ' ') as win from (select r, w, n, unnest(range(1, len(w) - n + 2)) as s from d, lens where len(w) >= n)),
+m as (select r, s, dw.n, item_id from dw join bw on dw.win = bw.win and dw.n = bw.n),
+h as (select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + n)) as p from m) group by r),
+i as (select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from m group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (r) left join i using (r)
+""".replace("\\\\", "\\")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.score(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes")
@@ -82,8 +101,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op5_quality_rules, op6_chat_format, op7_warc_index, op8_mixing, op9_secret_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op3_simhash, op4_decontaminate, op5_quality_rules, op6_chat_format, op7_warc_index, op8_mixing, op9_secret_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op6_chat_format": OP6_SQL}
