@@ -10,13 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalog.llm import chat, decontaminate, mixing, quality_rules, secret_scan, simhash, toxicity, warc
+from annalog.llm import chat, decontaminate, line_dedup, mixing, quality_rules, secret_scan, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -38,7 +42,7 @@ h as (select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + n
 i as (select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from m group by r)
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (r) left join i using (r)
-""".replace("\\\\", "\\")
+"""
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +105,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op4_decontaminate, op5_quality_rules, op6_chat_format, op7_warc_index, op8_mixing, op9_secret_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_simhash, op4_decontaminate, op5_quality_rules, op6_chat_format, op7_warc_index, op8_mixing, op9_secret_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
