@@ -13,15 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
-
-#: Bytes that part words: space and \t \n \v \f \r.
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-#: A-Z to a-z, other bytes as they are.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 32
+BLOCK_BYTES = 1 << 18  # what a processor's second cache holds, at 8 bytes each
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -44,6 +36,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0], made[1]
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Bytes that part words: space and \\t \\n \\v \\f \\r."""
+    return (data == 0x20) | (data - np.uint8(0x09) < 5)
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z, other bytes as they are."""
+    return data + ((data - np.uint8(0x41) < 26).astype(np.uint8) << 5)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes (the finaliser of MurmurHash3)."""
     h = h ^ (h >> np.uint64(33))
@@ -89,7 +91,7 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and where each document's words begin among them."""
-    starts, ends = spans(~SPACE[data], offsets)
+    starts, ends = spans(~is_space(data), offsets)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -104,7 +106,7 @@ def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     keep = np.zeros(len(data) + 1, dtype=np.int32)
     np.add.at(keep, starts, 1)
     np.add.at(keep, ends, -1)
-    out[inside] = LOWER[data[np.cumsum(keep[:-1]) > 0]]
+    out[inside] = lower(data[np.cumsum(keep[:-1]) > 0])
     return out, at
 
 

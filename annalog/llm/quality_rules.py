@@ -101,7 +101,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, functions: np.ndarray) -> dic
     line_starts, line_ends, line_owner = line_starts[solid], line_ends[solid], line_owner[solid]
     dup = _later(bs.span_hash(data, line_starts, line_ends), line_owner)
 
-    lowered = bs.span_hash(bs.LOWER[data], starts, ends)
+    lowered = bs.span_hash(bs.lower(data), starts, ends)
     distinct = ~_later(lowered, owner)
     count = lambda flags, of: np.bincount(of, weights=flags, minlength=len(n_words)).astype(np.int64)
     per_bytes = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)])[offsets])

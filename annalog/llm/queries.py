@@ -10,13 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalog.llm import chat, decontaminate, line_dedup, mixing, quality_rules, secret_scan, simhash, toxicity, warc
+from annalog.llm import chat, decontaminate, line_dedup, maxent, mixing, quality_rules, secret_scan, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"), _fold(7) == 2)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -93,10 +101,6 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(found)
 
 
-def _fold(n: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
-
-
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(_fold(5) != 0)
@@ -105,7 +109,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_simhash, op4_decontaminate, op5_quality_rules, op6_chat_format, op7_warc_index, op8_mixing, op9_secret_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_lm_score, op2_line_dedup, op3_simhash, op4_decontaminate, op5_quality_rules, op6_chat_format, op7_warc_index, op8_mixing, op9_secret_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

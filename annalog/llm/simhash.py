@@ -80,7 +80,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprints_of(data, offsets) for _, _, data, offsets in bs.blocks(batch.column("text"), 1 << 19)]
+            made = [fingerprints_of(data, offsets) for _, _, data, offsets in bs.blocks(batch.column("text"))]
             if made:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(made).view(np.int64))], names=["doc_id", "fp"])
 

@@ -131,9 +131,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
     # Blocks are small and ids narrow: all this is one task's memory.
     hashes, first, names_of, counts_of, buckets_of = [], [0], [], [], []
     seen = np.zeros(0, np.uint64)
-    for _, _, data, offsets in bs.blocks(pa.array(texts, type=pa.large_binary()), 1 << 18):
+    for _, _, data, offsets in bs.blocks(pa.array(texts, type=pa.large_binary())):
         starts, ends, at = bs.words(data, offsets)
-        h = bs.span_hash(bs.LOWER[data], starts, ends)
+        h = bs.span_hash(bs.lower(data), starts, ends)
         first += (at[1:] + first[-1]).tolist()
         hashes.append(h)
         distinct, where = np.unique(h, return_index=True)
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, bias = held.value
         for batch in batches:
-            made = [score_block(data, offsets, share, bias) for _, _, data, offsets in bs.blocks(batch.column("text"), 1 << 20)]
+            made = [score_block(data, offsets, share, bias) for _, _, data, offsets in bs.blocks(batch.column("text"))]
             if made:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(made))], names=["doc_id", "score"])
 
