@@ -32,13 +32,13 @@ SLOP = 3
 BROADCAST_WORDS = 500_000
 BITMAP_BITS = 1 << 19
 
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def raw_words(text: str = "text") -> Column:
     """Words of a text before lower-casing, which changes no word boundary here."""
-    return F.coalesce(F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, _BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def lowered(word: Column) -> Column:
@@ -145,8 +145,10 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: in
     first = postings.join(_sided(seeded, small), F.col("word") == F.col("w1"))
     first = first.select("row", "item", "item_id", "length", "p1", "p2", "pos", (F.col("pos") - F.col("p1")).alias("at"), _agree("left", "before").alias("l"), _agree("right", "after").alias("r"))
     second = postings.select("row", "pos", "word").join(_sided(seeded.select("item", "p1", "p2", "w2"), small), F.col("word") == F.col("w2"))
-    second = second.select("row", "item", "p1", "p2", F.explode(F.sequence(F.col("pos") - F.col("p2") - slop, F.col("pos") - F.col("p2") + slop)).alias("at"))
-    both = first.join(second, ["row", "item", "p1", "p2", "at"], "left_semi")
+    second = second.select("row", "item", "p1", "p2", (F.col("pos") - F.col("p2")).alias("near"))
+    # the rarest term's list is the short one: it is the one to widen
+    widened = first.withColumn("near", F.explode(F.sequence(F.col("at") - slop, F.col("at") + slop)))
+    both = widened.join(second, ["row", "item", "p1", "p2", "near"], "left_semi")
     return table, both.select("row", "item_id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"), (F.col("l") + F.col("r") + 1 >= F.col("length")).alias("exact"))
 
 
