@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from annalog.llm import bytescan as bs
+from annalog.llm.durable import cut
 
 CUT = 16
 GRAM_WORDS = 10
@@ -146,7 +147,8 @@ def matches(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, line, before, after): fingerprints found earlier, and lines to extend by."""
     every = fingerprints(docs)
     first = every.groupBy("g").agg(F.min(F.struct("doc_id", "at", "before", "after")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(F.col("g").alias("g0"), F.col("f.doc_id").alias("d0"), F.col("f.at").alias("at0"), F.col("f.before").alias("before0"), F.col("f.after").alias("after0"))
+    # a written table: the join then has a shuffle on either side, which adaptive execution can split where g is hot
+    first = cut(first, "firsts").select(F.col("g").alias("g0"), F.col("f.doc_id").alias("d0"), F.col("f.at").alias("at0"), F.col("f.before").alias("before0"), F.col("f.after").alias("after0"))
     later = every.join(first, F.col("g") == F.col("g0")).where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("at") == F.col("at0"))))
     return later.select(
         "doc_id", F.shiftright("at", 32).cast("int").alias("mark"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("line"),
