@@ -10,7 +10,7 @@ of the class, add-one smoothed, with one outcome a class for words never seen.
 Training makes ``ROUNDS`` passes, each over its own share of the training documents, so
 that all are used once. In a pass every worker takes minibatch gradient steps from
 the present weights, and the weights are averaged over workers by their tokens. Workers
-are as many as the cluster has cores, whatever the size of the corpus.
+are twice as many as the cluster has cores, whatever the size of the corpus.
 
 What is counted covers all training documents. Counts of words travel as (hash, count)
 and grow with the corpus; on the driver and in broadcasts are only the ``HEAD`` commonest
@@ -45,6 +45,7 @@ FORMS = 8
 CLASSES = CLUSTERS + FORMS
 SLOTS = 1 << 14
 ROUNDS = 2
+PARTS = 128
 BATCH = 2048
 RATE = 0.5
 
@@ -277,7 +278,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     np.subtract.at(model.class_total, CLUSTERS + form[order].astype(np.int64), model.head_count + 1.0)
     model.prior = np.log(np.maximum(model.class_total, 1) / model.class_total.sum()).astype(np.float32)
 
-    workers = max(1, spark.sparkContext.defaultParallelism)
+    workers = 2 * max(1, spark.sparkContext.defaultParallelism)
     for r in range(rounds):
         held = spark.sparkContext.broadcast(model)  # of fixed size
         share = docs.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(rounds)) == r) if rounds > 1 else docs
@@ -289,11 +290,10 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
                 steps(w, m.prior, features(t), m.classes(t, m.find(t.h)), rate)
                 seen += len(t.h)
             if seen:
-                parts = 16
-                for k, part in enumerate(np.split(w, parts)):
+                for k, part in enumerate(np.split(w, PARTS)):
                     yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([seen]), pa.array([part.tobytes()], type=pa.binary())], names=["k", "seen", "w"])
 
-        def average(rows: pd.DataFrame) -> pd.DataFrame:  # a row a worker, 1/16 of the weights each
+        def average(rows: pd.DataFrame) -> pd.DataFrame:  # a row a worker, 1/PARTS of the weights each
             mass = rows["seen"].to_numpy(dtype=np.float64)
             out = sum(np.frombuffer(x, dtype=np.float32) * (s / mass.sum()) for x, s in zip(rows["w"], mass, strict=True))
             return pd.DataFrame({"k": [rows["k"].iloc[0]], "w": [np.asarray(out, dtype=np.float32).tobytes()]})
