@@ -1,0 +1,53 @@
+import random
+
+import pytest
+
+UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def low(text):
+    return (text or "").encode().translate(UPPER)
+
+
+def prose(rng, n, vocabulary=400):
+    """n words of invented prose in sentences."""
+    out = []
+    for i in range(n):
+        w = f"w{rng.randrange(vocabulary)}"
+        out.append(w.capitalize() if not i % 9 else w + ("." if i % 9 == 8 else ""))
+    return " ".join(out)
+
+
+@pytest.fixture(scope="session")
+def corpus():
+    """(doc_id, text, source) rows: copies, near copies, shared passages, nulls, empties and odd texts."""
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randrange(60, 300)), f"s{i % 3}") for i in range(40)]
+    passage = prose(rng, 90)
+    rows += [(100 + i, prose(rng, 40) + " " + passage + " " + prose(rng, 40), "s1") for i in range(4)]
+    rows += [(200 + i, rows[3][1], "hot") for i in range(5)]  # exact copies
+    near = rows[5][1].split(" ")
+    rows += [(300 + i, " ".join([*near[: 20 + i], "changed", *near[21 + i :]]), "hot") for i in range(5)]
+    rows += [
+        (400, None, None), (401, "", None), (402, " \t\n\v\f\r", "s0"), (403, "one", "s0"), (404, "Ünïcode ÄÖ mixed spaces É", "s2"),
+        (405, "a\n\na\nb\r\na\n" * 3, "s2"), (406, "<|im_end|> \\ %0A \x1c\x1d ok", "s1"), (407, "word " * 3000, "s1"), (408, rows[0][1].upper(), "s0"),
+        (3, rows[3][1], "s0"),  # a repeated row
+        (None, "no id at all but some words in it", "s1"), (None, None, None),
+    ]
+    return rows
+
+
+@pytest.fixture(scope="session")
+def docs(spark, corpus):
+    """The corpus as a table with more columns, names of which the operators use inside."""
+    extra = [(*r, "votes!", 1, 2) for r in corpus]
+    return spark.createDataFrame(extra, "doc_id long, text string, source string, votes string, row int, mark int").repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def empty(docs):
+    return docs.limit(0)

@@ -1,0 +1,91 @@
+import random
+import re
+
+import pytest
+
+from annalog.llm import decontaminate as d
+
+from .conftest import low, prose
+
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute(text, items, window=10):
+    w = WORD.findall(low(text))
+    hit, found = set(), set()
+    for item, other in items:
+        v = WORD.findall(low(other))
+        n = min(window, len(v))
+        if not n or item is None:
+            continue
+        wanted = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)}
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in wanted:
+                hit.update(range(i, i + n))
+                found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+def case(seed):
+    rng = random.Random(seed)
+    items = [(i, prose(rng, rng.randrange(12, 40), 60)) for i in range(12)]
+    items += [(50, "Short item of five"), (51, "one"), (52, None), (53, " .,! "), (54, items[0][1]), (3, items[3][1]), (3, "another text under the same id of ten words here"), (None, items[1][1]), (55, "É Ünï " * 12), (56, "same same same same same same same same same same same")]
+    rows = []
+    for i in range(40):
+        w = prose(rng, rng.randrange(5, 120), 60).split(" ")
+        for _ in range(rng.randrange(3)):
+            v = (rng.choice(items)[1] or "x").split(" ")
+            a = rng.randrange(len(v))
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = v[a : a + rng.randrange(5, 20)]
+        rows.append((i, " ".join(w).upper() if i % 5 == 0 else "\n".join(w) if i % 5 == 1 else ", ".join(w)))
+    rows += [(100, None), (101, ""), (102, "..."), (103, "One"), (104, "é ünï " * 11 + "É"), (5, rows[5][1]), (105, "same " * 25), (None, items[2][1])]
+    return rows, items
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hits_are_those_of_brute_force(spark, seed):
+    rows, items = case(seed)
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row int, item string").repartition(3)
+    bench = spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, pos int")
+    text = dict(rows)
+    got = d.contamination(docs, bench).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_words"], r["n_hit"], r["item_ids"]) == brute(text[r["doc_id"]], items), r["doc_id"]
+        assert r["n_near"] >= len(r["item_ids"])
+
+
+def test_a_large_benchmark_is_joined_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(d, "BROADCAST_WORDS", 0)
+    rows, items = case(3)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in d.contamination(docs, bench).collect()}
+    assert all(v == brute(dict(rows)[k], items) for k, v in got.items())
+
+
+def test_proximity(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, item), (2, item.replace("gamma", "gamma odd words")), (3, "alpha beta"), (4, item.replace("epsilon", "other"))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in d.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got[1] == (10, 1) and got[3] == (0, 0) and got[2][0] == got[4][0] == 0 and max(got[2][1], got[4][1]) == 1
+
+
+def test_empty_tables(spark, docs, empty):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    assert d.contamination(empty, bench).count() == 0
+    assert d.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_contaminated_rows_go(spark, docs, corpus):
+    bench = spark.createDataFrame([(1, corpus[3][1]), (2, "no id at all but some words in it")], "item_id long, text string")
+    stay = d.drop_contaminated(docs, bench)
+    assert stay.columns == docs.columns
+    gone = {3, *range(200, 205)}
+    assert sorted(r["doc_id"] for r in stay.collect()) == sorted(i for i, _, _ in corpus if i is not None and i not in gone)
+
+
+def test_the_main_path_has_no_python(spark, docs):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    p = d.contamination(docs, bench)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", p)

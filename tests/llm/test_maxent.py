@@ -1,0 +1,108 @@
+import collections
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from annalog.llm import bytescan as bs
+from annalog.llm import maxent as m
+
+from .conftest import low, prose
+
+
+def held(i):
+    return i is None or zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def brute(rows):
+    tokens = [[*low(t).split(), None] for _, t in rows]
+    c = collections.Counter(w for (i, _), ts in zip(rows, tokens, strict=True) if not held(i) for w in ts)
+    n, v = sum(c.values()), len(c)
+    return [(len(ts), sum(c[w] > 0 for w in ts), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ts)) for ts in tokens]
+
+
+def fold():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+
+
+def check(frame, rows):
+    got = m.score(frame, fold()).collect()
+    assert len(got) == len(rows)
+    want = collections.defaultdict(list)
+    for (i, t), b in zip(rows, brute(rows), strict=True):
+        want[i].append(b)
+    for r in got:
+        assert any((r["n_tokens"], r["n_known"], r["train_tokens"]) == b[:3] and r["base_score"] == pytest.approx(b[3], rel=1e-9, abs=1e-9) for b in want[r["doc_id"]])
+        assert r["held_out"] == held(r["doc_id"]) and math.isfinite(r["score"]) and r["score"] <= 1e-9
+    return got
+
+
+def test_base_is_that_of_brute_force(docs, corpus):
+    check(docs, [(i, t) for i, t, _ in corpus])
+
+
+def test_rare_words_meet_their_counts(docs, corpus, monkeypatch):
+    monkeypatch.setattr(m, "HEAD", 20)
+    check(docs, [(i, t) for i, t, _ in corpus])
+
+
+def test_the_model_beats_the_base_where_context_tells(spark):
+    rng = random.Random(2)
+    tongues = [[f"{p}{k}" for k in range(300)] for p in ("xa", "éb", "qc.")]
+    rows = []
+    for i in range(240):
+        v = tongues[i % 3]
+        rows.append((i, " ".join(v[int(rng.paretovariate(0.7)) % 300] for _ in range(120))))
+    got = check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    out = [r for r in got if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in out) / sum(r["n_tokens"] for r in out)
+    assert gain > 0.1
+    assert sum(r["score"] > r["base_score"] for r in out) > 0.9 * len(out)
+
+
+def test_probabilities_of_all_words_sum_to_one(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, prose(rng, 80, 3000)) for i in range(60)], "doc_id long, text string")
+    counts = m.count_words(docs)
+    model = m.train(docs, counts, rounds=1)
+    rows = counts.toArrow()
+    h, n, form = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy(), rows["form"].to_numpy()
+    at = model.find(h)
+    own = np.where(at >= 0, model.head_class[np.maximum(at, 0)], m.CLUSTERS + form)
+    inside = np.bincount(own, weights=(n + 1) / model.class_total[own], minlength=m.CLASSES)
+    inside[m.CLUSTERS :] += 1 / model.class_total[m.CLUSTERS :]  # a word never seen, of each form
+    assert np.allclose(inside[model.class_total > 0], 1)
+    data = np.frombuffer(b"w1 w2. w3 unheard", np.uint8)
+    t = m.tokens(data, np.array([0, len(data)]))
+    z = m.logits(model.weights, model.prior, m.features(t))
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and np.abs(model.weights).max() > 0
+
+
+def test_steps_lower_the_loss():
+    rng = np.random.Generator(np.random.PCG64(1))
+    classes = rng.integers(0, 3, 4000)
+    slots = np.stack([classes * 5, rng.integers(0, 99, 4000), rng.integers(0, 99, 4000)])
+    w, prior = np.zeros((128, 3), np.float32), np.zeros(3, np.float32)
+    for _ in range(3):
+        m.steps(w, prior, slots, classes)
+    z = m.logits(w, prior, slots)
+    assert (z.argmax(axis=1) == classes).mean() > 0.99
+
+
+def test_tokens_end_each_text():
+    texts = [b"Ab b", b"", b"b"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    t = m.tokens(data, offsets)
+    assert t.first.tolist() == [0, 3, 4, 6] and (t.h[[2, 3, 5]] == m.END).all() and t.h[1] == t.h[4] != t.h[0]
+    assert len(bs.owners(t.first)) == 6
+
+
+def test_empty_and_nothing_to_learn_from(spark, empty):
+    assert m.score(empty, fold()).count() == 0
+    only = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
+    got = m.score(only, fold()).collect()
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
