@@ -36,6 +36,7 @@ BLOCKS = 256
 SPACE_BITS = 62
 MAX_SOURCES = 100_000
 EXTRAS = 48
+PIECE_WORDS = 250_000
 #: The region in which a draw ends: blocks about its end with so many documents, if there are.
 REGION = (32, 256)
 TRIES = 16
@@ -245,8 +246,9 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 0, **options) -> DataFram
     each = each.withColumn("mix_shard", F.get("mix_shards", (F.col("mix_copy") * BLOCKS + block_of(F.col("place"))).cast("int")))
     order = F.xxhash64(F.lit(seed + 1), "place", "mix_copy")
     dealt = each.withColumn("mix_order", order).select("row", "mix_shard", "mix_copy", "mix_order")
-    # rows of a shard may spread over several partitions: a shard isn't one task
-    out = dealt.repartition("mix_shard", F.pmod("mix_order", F.lit(8))).sortWithinPartitions("mix_shard", "mix_order")
+    # a shard is dealt in pieces of PIECE_WORDS or so: neither it nor its source is one task
+    pieces = max(1, round(sum(p.target for p in plans) / shards / PIECE_WORDS))
+    out = dealt.repartition("mix_shard", F.pmod("mix_order", F.lit(pieces))).sortWithinPartitions("mix_shard", "mix_order")
     names = [c for c in docs.columns if c not in ("mix_shard", "mix_copy")]
     return out.select(*[F.col(f"row.`{c}`") for c in names], "mix_shard", "mix_copy")
 
