@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalog.llm.durable import cut
+from annalog.llm.durable import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,7 +36,9 @@ def stars(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
         small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct(), "links")
+        old, edges = edges, cut(small.where("u <> v").distinct(), "links")
+        discard(old)
+        discard(large)
         after = _state(edges)
         if after == before:
             return edges

@@ -39,18 +39,29 @@ def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
     spark = frame.sparkSession
     path = new_path(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    written = spark.read.schema(frame.schema).parquet(path)
+    written._cut_path = path
+    return written
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is not None:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(written: DataFrame) -> None:
+    """Delete the table behind a frame of ``cut`` that nothing will read again."""
+    path = written._cut_path
+    _WRITTEN.remove((written.sparkSession, path))
+    _delete(written.sparkSession, path)
 
 
 def release() -> None:
     """Delete every table written so far; frames that read them become invalid."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        jvm = spark.sparkContext._jvm
-        if jvm is None:
-            continue
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(*_WRITTEN.pop())
 
 
 @atexit.register
