@@ -6,6 +6,8 @@ limited reads add ``rn``, the place in the result.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -16,7 +18,9 @@ from annalog.functions.columns import has_tags
 from annalog.operators import reads, tag_index
 from annalog.plans import conditions
 from annalog.plans.tag_query import compile_query
+from annalog.sources.log import Log, load
 from annalog.sources.tables import ACTIVITY, DIALOGUE, ORDERS, STORES
+from annalog.streaming.source import read_stream
 from annalog.values import Direction, NoMatch, TagQuery, TagsOnly, TimeRange, TypesAndTags
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,6 +296,22 @@ def tag_negation(spark: SparkSession, d: str) -> DataFrame:
     return ACTIVITY.read(spark, d).agg(F.count_if(match).alias("with_tag"), F.count_if(~match).alias("without_tag"))
 
 
+@_query(None)
+def subscribe_available_now(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of ``activity`` appended to a store of its own, then read as a stream until its end.
+
+    The table keeps its order through the append; the stream's rows land in a table.
+    """
+    root = tempfile.mkdtemp(prefix="annalog-stream-") if not (shared := spark.sparkContext.getConf().get("spark.checkpoint.dir")) else f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    log = Log(spark, f"{root}/log")
+    load(log, ACTIVITY.read(spark, d))
+    out = f"{root}/out"
+    stream = read_stream(spark, log.path, most=4000).select(*SHOWN, F.col("tags")["user"].alias("user_tag"))
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -75,3 +75,13 @@ def test_renderings(spark):
     assert '"payload":{"data":"' in df.select(columns.json_line().alias("j")).first()["j"]
     texts = spark.createDataFrame([("aGk=",), ("not base64!",), (None,)], "t string")
     assert [r[0] for r in texts.select(columns.payload_text(texts["t"])).collect()] == ["hi", "not base64!", None]
+
+
+def test_a_stream_brings_the_whole_table(spark, data):
+    got = core.subscribe_available_now(spark, data)
+    want = ACTIVITY.read(spark, data).select(*core.SHOWN, "tags")
+    assert got.count() == want.count()
+    # ids in the order of positions are those of the table
+    order = [r["fact_id"] for r in got.orderBy("position").collect()]
+    assert order == [r["fact_id"] for r in want.orderBy("position").collect()]
+    assert [r["position"] for r in got.orderBy("position").collect()] == list(range(1, len(order) + 1))
