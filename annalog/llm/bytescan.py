@@ -23,7 +23,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE**i and its inverse for i up to n, kept for the usual block size."""
-    size = max(n + 1, BLOCK_BYTES + 1)
+    size = max(n + 1, 2 * BLOCK_BYTES + 1)
     if size in _POWERS:
         return _POWERS[size]
     made = []
@@ -31,7 +31,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         p = np.full(size, base, dtype=np.uint64)
         p[0] = 1
         made.append(np.cumprod(p, dtype=np.uint64))
-    if size == BLOCK_BYTES + 1:
+    if size == 2 * BLOCK_BYTES + 1:
         _POWERS[size] = (made[0], made[1])
     return made[0], made[1]
 
@@ -119,8 +119,19 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes; equal bytes give equal hashes anywhere."""
-    return range_hash(_RANDOM[data], starts, ends)
+    """A 64-bit hash of each span's bytes; equal bytes give equal hashes anywhere.
+
+    Spans are in order and don't overlap. A long text is hashed a block of spans at a
+    time, so that only a span longer than a block needs more than a block's memory.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 2 * BLOCK_BYTES, "right")))
+        a, b = starts[lo], ends[hi - 1]
+        out[lo:hi] = range_hash(_RANDOM[data[a:b]], starts[lo:hi] - a, ends[lo:hi] - a)
+        lo = hi
+    return out
 
 
 def window_hash(h: np.ndarray, size: int) -> np.ndarray:

@@ -44,6 +44,7 @@ SHINGLE = 4
 SEED = 42
 THRESHOLD = 4
 TILE = 1 << 15
+PART = 1 << 16
 #: Dimension of the code of each half, by the number of distinct fingerprints.
 DIMENSIONS = ((4_000_000, 6), (32_000_000, 7), (256_000_000, 8), (1 << 62, 9))
 
@@ -62,16 +63,17 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
     begin = np.repeat(first[some], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     last = begin + np.repeat(np.minimum(n_words[some], shingle) - 1, count)
     raw, digest = text.tobytes(), xxhash.xxh64_intdigest
-    h = np.array([digest(raw[a:b], SEED) for a, b in zip(at[begin].tolist(), stop[last].tolist(), strict=True)], dtype=np.uint64)
-    edges = np.cumsum(count) - count
-    # bit k of byte j, in little-endian order, is bit 8 * j + k
-    for lo in range(0, len(some), 256):
-        hi = min(lo + 256, len(some))
-        a, b = edges[lo], edges[hi] if hi < len(edges) else len(h)
-        bits = np.unpackbits(h[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, edges[lo:hi] - a, axis=0, dtype=np.int32)
-        made = np.packbits(2 * ones > count[lo:hi, None], axis=1, bitorder="little")
-        out[some[lo:hi]] = np.ascontiguousarray(made).view(np.uint64)[:, 0]
+    ones = np.zeros((len(some), 64), dtype=np.int64)
+    owner = np.repeat(np.arange(len(some)), count)
+    for lo in range(0, len(begin), PART):  # a long text in parts
+        a, b, of = at[begin[lo : lo + PART]].tolist(), stop[last[lo : lo + PART]].tolist(), owner[lo : lo + PART]
+        h = np.array([digest(raw[x:y], SEED) for x, y in zip(a, b, strict=True)], dtype=np.uint64)
+        # bit k of byte j, in little-endian order, is bit 8 * j + k
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        ones[of[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
+    made = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little")
+    out[some] = np.ascontiguousarray(made).view(np.uint64)[:, 0]
     return out
 
 

@@ -35,6 +35,7 @@ DIM = 4
 WINDOW = 8
 SIZES = (3, 4, 5)
 MAX_ROWS = 3000
+PART = 1 << 16
 ROUNDS = 8
 OTHERS = 3
 
@@ -105,9 +106,13 @@ def _top(means: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def word_logits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, share: np.ndarray) -> np.ndarray:
-    owner, bucket = subwords(data, starts, ends)
-    n = len(starts)
-    return np.bincount(owner, weights=share[bucket], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
+    """Each word's share in the toxic logit: the mean of its subwords'."""
+    out = np.zeros(len(starts))
+    for lo in range(0, len(starts), PART):  # a long text in parts: n-grams take many bytes for each of its own
+        a, b = starts[lo : lo + PART], ends[lo : lo + PART]
+        owner, bucket = subwords(data[a[0] : b[-1]], a - a[0], b - a[0])
+        out[lo : lo + PART] = np.bincount(owner, weights=share[bucket]) / np.bincount(owner)
+    return out
 
 
 def score_block(data: np.ndarray, offsets: np.ndarray, share: np.ndarray, bias: float) -> np.ndarray:

@@ -47,3 +47,19 @@ def test_spaced_and_lower():
     starts, ends, _ = bs.words(data, np.array([0, len(data)]))
     text, at = bs.spaced(data, starts, ends)
     assert text.tobytes() == " ab Éz ".encode() and at.tolist() == [1, 4]
+
+
+def test_long_texts_in_parts_give_what_short_ones_do(monkeypatch):
+    from annalog.llm import simhash, toxicity
+
+    text = " ".join(f"word{i % 97} É{i % 13}" for i in range(3000)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, 4000, len(text)])
+    starts, ends, _ = bs.words(data, offsets)
+    share = np.arange(toxicity.BUCKETS, dtype=np.float32)
+    whole = bs.span_hash(data, starts, ends), simhash.fingerprints_of(data, offsets), toxicity.word_logits(data, starts, ends, share)
+    monkeypatch.setattr(bs, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(simhash, "PART", 50)
+    monkeypatch.setattr(toxicity, "PART", 50)
+    parts = bs.span_hash(data, starts, ends), simhash.fingerprints_of(data, offsets), toxicity.word_logits(data, starts, ends, share)
+    for a, b in zip(whole, parts, strict=True):
+        assert np.array_equal(a, b)
