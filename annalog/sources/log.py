@@ -133,19 +133,43 @@ class Log:
 
     def facts(self, snapshot: Snapshot, after: int | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """Facts of a snapshot. Bounds on position and time drop whole batches before Spark plans."""
+        segment = self._segment(snapshot)
+        covered, parts = (segment["commits"], [self._bounded(self.spark.read.schema(FACTS).parquet(f"{self.path}/{segment['path']}"), after)]) if segment else (0, [])
         kept = [
-            c for c in snapshot.commits
+            c for c in snapshot.commits[covered:]
             if c.fact_count and (after is None or c.end - 1 > after) and (start is None or c.appended_at >= start) and (end is None or c.appended_at < end)
         ]
-        if not kept:
+        if kept:
+            data = self.spark.read.schema(DATA).parquet(*[f"{self.path}/data/{c.batch_id}" for c in kept])
+            commits = self.spark.createDataFrame([(c.batch_id, c.first_position, c.appended_at) for c in kept], "batch_id string, first_position long, appended_at timestamp_ntz")
+            # a row a commit: Spark broadcasts it by its size, or shuffles it
+            joined = data.join(commits, "batch_id").withColumn("position", F.col("first_position") + F.col("ordinal"))
+            parts.append(self._bounded(joined, after).select("position", "fact_id", "type", "subject", "appended_at", "payload", "metadata", "tags"))
+        if not parts:
             return self.spark.createDataFrame([], FACTS)
-        data = self.spark.read.schema(DATA).parquet(*[f"{self.path}/data/{c.batch_id}" for c in kept])
-        commits = self.spark.createDataFrame([(c.batch_id, c.first_position, c.appended_at) for c in kept], "batch_id string, first_position long, appended_at timestamp_ntz")
-        # a row a commit: Spark broadcasts it by its size, or shuffles it
-        joined = data.join(commits, "batch_id").withColumn("position", F.col("first_position") + F.col("ordinal"))
-        if after is not None:
-            joined = joined.where(F.col("position") > after)
-        return joined.select("position", "fact_id", "type", "subject", "appended_at", "payload", "metadata", "tags")
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    @staticmethod
+    def _bounded(facts: DataFrame, after: int | None) -> DataFrame:
+        return facts if after is None else facts.where(F.col("position") > after)
+
+    def _segment(self, snapshot: Snapshot) -> dict | None:
+        """The largest compacted segment that holds nothing beyond a snapshot."""
+        names = [n for n in self.files.names("segments") if int(n.removesuffix(".json")) <= len(snapshot.commits)]
+        return json.loads(self.files.read(f"segments/{names[-1]}")) if names else None
+
+    def compact(self) -> bool:
+        """Rewrite all facts so far as one table in the order of positions; False if that is done.
+
+        Small files of single appends become few large ones, whose row groups a position, a
+        time or an id can skip. Batches stay where they are, for streams and older snapshots.
+        """
+        snapshot = self.snapshot()
+        n, path = len(snapshot.commits), f"compacted/{uuid.uuid4().hex}"
+        if not n or f"{n:020d}.json" in self.files.names("segments"):
+            return False
+        self.facts(snapshot).repartitionByRange("position").sortWithinPartitions("position").write.parquet(f"{self.path}/{path}")
+        return self.files.publish(f"segments/{n:020d}.json", json.dumps({"commits": n, "path": path}))
 
     def unseen_batches(self) -> list[str]:
         """Batches that no commit names: lost races, and appends still under way."""
