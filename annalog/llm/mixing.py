@@ -34,7 +34,7 @@ from annalog.llm.durable import cut
 
 BLOCKS = 256
 SPACE_BITS = 62
-MAX_SOURCES = 100_000
+MAX_SOURCES = 10_000
 EXTRAS = 48
 PIECE_WORDS = 250_000
 #: The region in which a draw ends: blocks about its end with so many documents, if there are.
