@@ -89,7 +89,16 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the table has no time of capture: one second a page, from a fixed day
     when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", when.alias("captured"))
-    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "place")
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
+
+
+OP7_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as digest from pages),
+f as (select digest, min(page_id) as first_id from p where n >= 100 group by digest)
+select page_id, n as payload_bytes, digest as payload_digest, case when page_id > first_id then 'revisit' else 'response' end as record_type,
+    case when page_id > first_id then first_id end as refers_to, strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured
+from p left join f using (digest)
+"""
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,4 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op6_chat_format": OP6_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_warc_index": OP7_SQL}

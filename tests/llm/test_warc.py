@@ -2,10 +2,12 @@ import gzip
 import hashlib
 import random
 
+import duckdb
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from annalog.llm import queries as q
 from annalog.llm import warc as w
 
 
@@ -78,3 +80,13 @@ def test_repeated_ids(spark):
     pages = spark.createDataFrame([(1, "u", BIG, "t"), (1, "u", BIG, "t"), (2, "u", BIG, "t"), (2, "v", "other", "t")], "page_id long, url string, html string, captured string")
     got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in w.archive(pages).select("page_id", "record_type", "refers_to").fillna(0).collect())
     assert got == [(1, "response", 0), (1, "response", 0), (2, "response", 0), (2, "revisit", 1)]
+
+
+def test_the_query_agrees_with_its_sql(spark, data):
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{data}/pages.parquet')")
+    want = con.execute(q.OP7_SQL).df().sort_values("page_id").reset_index(drop=True)
+    got = q.op7_warc_index(spark, data).toPandas().sort_values("page_id").reset_index(drop=True)
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert got[cols].astype(object).where(got[cols].notna(), None).astype(str).equals(want[cols].astype(object).where(want[cols].notna(), None).astype(str))
