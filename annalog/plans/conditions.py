@@ -1,16 +1,19 @@
 """Conditions of an append, held against a snapshot of facts.
 
-The tree is walked on the driver; each leaf is one Spark job that reads no more than it
-must: the last fact of one subject, or whether any fact matches.
+The tree is walked on the driver. A leaf looks at the recent facts in memory first, and
+asks Spark only about compacted ones: the last fact of one subject, or whether any
+fact matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalog.plans.tag_query import compile_query
-from annalog.values import AllOf, Condition, ExpectedLastFact, NoCondition, NoMatch
+from annalog.values import AllOf, Condition, ExpectedLastFact, NoCondition, NoMatch, TagQuery, TagsOnly
 
 
 def last_fact(facts: DataFrame, subject: str) -> str | None:
@@ -34,15 +37,29 @@ def conflicting(facts: DataFrame, condition: NoMatch) -> DataFrame | None:
     return later.where(compile_query(condition.query))
 
 
-def holds(facts: DataFrame, condition: Condition) -> bool:
+def matches(query: TagQuery, kind: str, tags: dict[str, str]) -> bool:
+    """Whether a fact of this type with these tags matches; what ``compile_query`` says in Spark."""
+    return any(all(tags.get(k) == v for k, v in i.tags.items()) and (isinstance(i, TagsOnly) or kind in i.types) for i in query.items)
+
+
+def holds(condition: Condition, facts: DataFrame | None, tail: Sequence = ()) -> bool:
+    """Whether ``condition`` holds of ``facts`` (None: there are none) and then ``tail``, oldest first."""
     match condition:
         case NoCondition():
             return True
         case ExpectedLastFact(subject, fact_id):
-            return last_fact(facts, subject) == fact_id
-        case NoMatch():
+            recent = next((f.fact_id for f in reversed(tail) if f.subject == subject), None)
+            return (recent or (last_fact(facts, subject) if facts is not None else None)) == fact_id
+        case NoMatch(query, after):
+            cursor = next((f.position for f in tail if f.fact_id == after), None) if after is not None else 0
+            if any(f.position > (cursor or 0) and matches(query, f.type, f.tags) for f in tail):
+                return False
+            if after is not None and cursor is not None:
+                return True  # all of facts is before the cursor
+            if facts is None:
+                return after is None
             found = conflicting(facts, condition)
             return found is not None and found.isEmpty()
         case AllOf(conditions):
-            return all(holds(facts, c) for c in conditions)
+            return all(holds(c, facts, tail) for c in conditions)
     raise TypeError(f"not a condition: {condition!r}")

@@ -19,6 +19,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from annalog.sources import arrow_io
 from annalog.sources.files import Files
 from annalog.values import FactInput
 
@@ -32,6 +33,10 @@ FACTS = (
 )
 
 
+#: Facts since the last compaction that conditions may keep in the driver's memory.
+TAIL_FACTS = 20_000
+
+
 @dataclass(frozen=True)
 class Commit:
     """One append: where its facts begin, how many there are, and under which key."""
@@ -84,6 +89,17 @@ class Snapshot:
         return self.end - 1
 
 
+@dataclass(frozen=True)
+class TailFact:
+    """What conditions look at."""
+
+    position: int
+    fact_id: str
+    type: str
+    subject: str
+    tags: dict[str, str]
+
+
 def now() -> datetime:
     """UTC without a zone, to the microsecond, as facts keep it."""
     return datetime.now(UTC).replace(tzinfo=None)
@@ -95,6 +111,8 @@ class Log:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self.files = Files(spark, self.path)
+        self._by_arrow = arrow_io.can_open(self.path)
+        self._tail: dict[str, list[TailFact]] = {}
         self._known: list[Commit] = []
         self._keys: set[str] = set()
 
@@ -123,14 +141,45 @@ class Log:
     def write(self, facts: tuple[FactInput, ...]) -> tuple[str, tuple[str, ...]]:
         """(batch id, fact ids) of facts written but not visible yet."""
         batch, ids = uuid.uuid4().hex, tuple(str(uuid.uuid4()) for _ in facts)
-        if facts:
-            rows = [
-                (batch, i, fact_id, f.type, f.subject, (bytearray(f.payload.data), f.payload.format, f.payload.schema_ref), dict(f.metadata), dict(f.tags))
-                for i, (fact_id, f) in enumerate(zip(ids, facts, strict=True))
-            ]
-            self.spark.createDataFrame(rows, DATA).coalesce(1).write.parquet(f"{self.path}/data/{batch}")
+        if not facts:
+            return batch, ids
+        path = f"{self.path}/data/{batch}"
+        rows = [
+            {
+                "batch_id": batch, "ordinal": i, "fact_id": fact_id, "type": f.type, "subject": f.subject,
+                "payload": {"data": f.payload.data, "format": f.payload.format, "schema_ref": f.payload.schema_ref}, "metadata": dict(f.metadata), "tags": dict(f.tags),
+            }
+            for i, (fact_id, f) in enumerate(zip(ids, facts, strict=True))
+        ]
+        if self._by_arrow:
+            arrow_io.write_batch(path, rows)
+        else:
+            self.spark.createDataFrame([{**r, "payload": {**r["payload"], "data": bytearray(r["payload"]["data"])}} for r in rows], DATA).coalesce(1).write.parquet(path)
         return batch, ids
 
+    def tail(self, snapshot: Snapshot) -> list[TailFact] | None:
+        """Facts since the last compaction, oldest first; None if they are more than TAIL_FACTS.
+
+        Kept in memory, so that a condition on recent facts takes no Spark job.
+        """
+        segment = self._segment(snapshot)
+        recent = snapshot.commits[segment["commits"] if segment else 0 :]
+        if not self._by_arrow or sum(c.fact_count for c in recent) > TAIL_FACTS:
+            return None
+        held = {}
+        for c in recent:
+            if c.fact_count and c.batch_id not in self._tail:
+                read = arrow_io.read_batch(f"{self.path}/data/{c.batch_id}", ["ordinal", "fact_id", "type", "subject", "tags"])
+                self._tail[c.batch_id] = [TailFact(c.first_position + r["ordinal"], r["fact_id"], r["type"], r["subject"], r["tags"] or {}) for r in sorted(read, key=lambda r: r["ordinal"])]
+            held[c.batch_id] = self._tail.get(c.batch_id, [])
+        self._tail = held
+        return [f for rows in held.values() for f in rows]
+
+    def base(self, snapshot: Snapshot) -> DataFrame | None:
+        """The compacted facts that ``tail`` leaves out; None if there are none."""
+        segment = self._segment(snapshot)
+        return self.spark.read.schema(FACTS).parquet(f"{self.path}/{segment['path']}") if segment else None
+
     def facts(self, snapshot: Snapshot, after: int | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """Facts of a snapshot. Bounds on position and time drop whole batches before Spark plans."""
         segment = self._segment(snapshot)

@@ -11,14 +11,18 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
+from datetime import datetime
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from annalog.sources import arrow_io
+from annalog.sources.arrow_io import open_path
+
 FORMAT = "annalog_facts"
 SCHEMA = (
     "position bigint, fact_id string, type string, subject string, appended_at timestamp_ntz, "
@@ -26,13 +30,6 @@ SCHEMA = (
 )
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    parts = urlsplit(path)
-    if parts.scheme in ("", "file"):
-        return pafs.LocalFileSystem(), unquote(parts.path)
-    return pafs.FileSystem.from_uri(path)
-
-
 class Batch(InputPartition):
     """Facts of one commit between two positions: after ``low``, up to ``high``."""
 
@@ -50,7 +47,7 @@ class Reader(DataSourceStreamReader):
         self.reached = self.start
 
     def _refresh(self) -> None:
-        fs, root = _open(f"{self.path}/commits")
+        fs, root = open_path(f"{self.path}/commits")
         if fs.get_file_info(root).type == pafs.FileType.NotFound:
             return
         found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if not os.path.basename(f.path).startswith("."))
@@ -83,15 +80,12 @@ class Reader(DataSourceStreamReader):
         ]
 
     def read(self, partition: Batch) -> Iterator[pa.RecordBatch]:
-        import datetime
-
-        fs, root = _open(partition.path)
-        files = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")]
-        at = datetime.datetime.fromisoformat(partition.appended_at)
+        fs, files = arrow_io.files(partition.path)
+        at = datetime.fromisoformat(partition.appended_at)
         for path in files:
             table = pq.read_table(path, filesystem=fs)
-            position = pa.compute.add(table["ordinal"].cast(pa.int64()), partition.first)
-            keep = pa.compute.and_(pa.compute.greater(position, partition.low), pa.compute.less_equal(position, partition.high))
+            position = pc.add(table["ordinal"].cast(pa.int64()), partition.first)
+            keep = pc.and_(pc.greater(position, partition.low), pc.less_equal(position, partition.high))
             table = table.append_column("position", position).append_column("appended_at", pa.array([at] * table.num_rows, pa.timestamp("us"))).filter(keep)
             names = ["position", "fact_id", "type", "subject", "appended_at", "payload", "metadata", "tags"]
             yield from table.select(names).sort_by("position").to_batches()
