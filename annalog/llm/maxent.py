@@ -10,7 +10,7 @@ of the class, add-one smoothed, with one outcome a class for words never seen.
 Training makes ``ROUNDS`` passes, each over its own share of the training documents, so
 that all are used once. In a pass every worker takes minibatch gradient steps from
 the present weights, and the weights are averaged over workers by their tokens. Workers
-are twice as many as the cluster has cores, whatever the size of the corpus.
+are twice as many as cores or as many as shuffle partitions, if those are more.
 
 What is counted covers all training documents. Counts of words travel as (hash, count)
 and grow with the corpus; on the driver and in broadcasts are only the ``HEAD`` commonest
@@ -278,7 +278,8 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     np.subtract.at(model.class_total, CLUSTERS + form[order].astype(np.int64), model.head_count + 1.0)
     model.prior = np.log(np.maximum(model.class_total, 1) / model.class_total.sum()).astype(np.float32)
 
-    workers = 2 * max(1, spark.sparkContext.defaultParallelism)
+    # executors may still be joining: the number of shuffle partitions says what the cluster is for
+    workers = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for r in range(rounds):
         held = spark.sparkContext.broadcast(model)  # of fixed size
         share = docs.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(rounds)) == r) if rounds > 1 else docs

@@ -78,16 +78,17 @@ select conv_id, count(*) as n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
     cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
     sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
-    cast(sum(12 + length(role) + length(role) - length(replace(role, '', '')) + (length(role) - length(replace(role, '<|', ''))) / 2
+    cast(sum(12 + length(role) + length(role) - length(replace(role, chr(92), '')) + (length(role) - length(replace(role, '<|', ''))) / 2
         + length(role) - length(replace(role, chr(10), '')) + 1
-        + length(text) + length(text) - length(replace(text, '', '')) + (length(text) - length(replace(text, '<|', ''))) / 2 + 11) as bigint) as formatted_chars
+        + length(text) + length(text) - length(replace(text, chr(92), '')) + (length(text) - length(replace(text, '<|', ''))) / 2 + 11) as bigint) as formatted_chars
 from said group by conv_id
 """
 
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the table has no time of capture: one second a page, from a fixed day
-    when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    second = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id)")  # whatever the session's zone
+    when = F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", when.alias("captured"))
     return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
 

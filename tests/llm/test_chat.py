@@ -71,3 +71,13 @@ def test_the_query_agrees_with_its_sql(spark, data):
     got = q.op6_chat_format(spark, data).toPandas().sort_values("conv_id").reset_index(drop=True)
     assert got[sorted(got.columns)].astype(str).equals(want[sorted(got.columns)].astype(str))
     assert got.conv_id[0] == -1 and got.n_turns[0] == 2
+
+
+def test_the_sql_counts_escapes(spark, tmp_path):
+    rows = [r for r in ROWS if r[1] is not None]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = {r[0]: r for r in con.execute(f"select conv_id, formatted_chars, turns_sha256, loss_sha256 from ({q.OP6_SQL})").fetchall()}
+    got = {r["conv_id"]: (r["conv_id"], r["formatted_chars"], r["turns_sha256"], r["loss_sha256"]) for r in q.op6_chat_format(spark, f"file://{tmp_path}").collect()}
+    assert got == want
