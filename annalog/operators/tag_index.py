@@ -17,7 +17,7 @@ from annalog.values import TagQuery, TypesAndTags
 
 def entries(facts: DataFrame) -> DataFrame:
     """(tag_key, tag_value, type, position)."""
-    return facts.select(F.explode("tags").alias("tag_key", "tag_value"), "type", "position")
+    return facts.select(F.explode("tags").alias("tag_key", "tag_value"), "type", "position").where("tag_value is not null")
 
 
 def write(facts: DataFrame, path: str) -> None:

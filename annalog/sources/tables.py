@@ -37,9 +37,11 @@ class View:
 
 
 def _tags(**values: Column) -> Column:
-    """A map of the tags that a row has; a null is no tag."""
-    pairs = [x for k, v in values.items() for x in (F.lit(k), v)]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    """A map of tags. A null value matches nothing and is not indexed: it is no tag.
+
+    Left unfiltered, so that Catalyst sees through it: a look-up of a key becomes the column.
+    """
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
 
 
 def _activity(rows: DataFrame) -> DataFrame:

@@ -85,3 +85,8 @@ def test_a_stream_brings_the_whole_table(spark, data):
     order = [r["fact_id"] for r in got.orderBy("position").collect()]
     assert order == [r["fact_id"] for r in want.orderBy("position").collect()]
     assert [r["position"] for r in got.orderBy("position").collect()] == list(range(1, len(order) + 1))
+
+
+def test_a_tag_of_a_view_is_its_column(spark, data):
+    p = plan(core.tags_multi_and(spark, data))
+    assert "map(" not in p.split("Filter")[1].split("\n")[0]
