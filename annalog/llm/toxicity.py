@@ -34,7 +34,7 @@ BUCKETS = 1 << 17
 DIM = 4
 WINDOW = 8
 SIZES = (3, 4, 5)
-MAX_ROWS = 3000
+MAX_ROWS = 6000
 PART = 1 << 16
 ROUNDS = 8
 OTHERS = 3
