@@ -1,19 +1,23 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by winnowing over word hashes.
 
-A *line* is what a line break or the end of a sentence ends, or a word whose hash is
-0 modulo ``CUT``: passages are repeated inside longer physical lines too, and so they
-fall into the same lines wherever they stand, but for a few words at either edge. A
-*gram* is the shortest run of lines from one line on with ``GRAM_WORDS`` words. The window
-of a gram holds the grams that begin at most ``SPAN`` words on; the one with the least hash
-(the last of equals) is a fingerprint. So two runs alike over a window's grams have a
-fingerprint in common.
+Passages are repeated inside physical lines too, so a *line* is as short as it can be: one
+word. What is found then doesn't depend on where lines, sentences or passages begin. A *gram*
+is ``GRAM_WORDS`` words on end. The window of a gram holds the grams that begin at most
+``SPAN`` words on; the one with the least hash (the last of equals) is a fingerprint. So
+two runs alike over GRAM_WORDS + SPAN words have a fingerprint in common, wherever they
+stand. Grams are longer than SPAN, so those of successive fingerprints touch, and a
+repeated run is covered from its first fingerprint to its last without gaps.
 
 Fingerprints are joined with the first position that holds them, in the order of
 doc_id and position; no pairs of later positions are made, and hot fingerprints are
-combined before the shuffle. Each carries hashes of the ``REACH`` lines on either side,
-by which a match is extended both ways. Extents that touch are one run; runs of
-``MIN_WORDS`` words or more are deleted from the later document. The first occurrence
-stays. Only hashes are grouped; a text moves once, to meet its deletions.
+combined before the shuffle. The first position brings hashes of the ``REACH`` words on
+either side, by which a match is extended both ways when the text meets it. A run's first
+fingerprint begins at most SPAN words into it, and REACH is no less, so a run alike with
+that first position is found to its exact ends; at an edge whose fingerprint stands
+first in some other passage, up to SPAN words may stay. Words on either side are told
+apart by 10 bits. Extents that touch are one run; runs of ``MIN_WORDS`` words or more
+are deleted from the later document. The first occurrence stays. Only hashes are
+grouped; a text moves once, to meet its deletions.
 
 Null text stays null. Texts without a repeated run stay as they are, byte for byte.
 Repeated rows (same doc_id and text) count as one document and all stay. A null
@@ -28,46 +32,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from annalog.llm import bytescan as bs
 from annalog.llm.durable import cut
 
-CUT = 16
-GRAM_WORDS = 10
-SPAN = 18
-REACH = 3
+GRAM_WORDS = 16
+SPAN = 12
+REACH = 12
 MIN_WORDS = 24
-_BITS = 21
-
-_STOP = np.zeros(256, dtype=bool)
-_STOP[list(b".!?")] = True
+_BITS = 10
+_SIDE = 6  # words of a context in one long
+_CONTEXT = ("before0", "before1", "after0", "after1")
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, number of words) of each line, and where each document's lines begin."""
     starts, ends, first = bs.words(data, offsets)
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    h = bs.span_hash(data, starts, ends)
-    breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
-    last = _STOP[data[ends - 1]] | (h % np.uint64(CUT) == 0)
-    last[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
-    last[first[1:][np.diff(first) > 0] - 1] = True
-    stop = np.flatnonzero(last) + 1
-    begin = np.concatenate([[0], stop[:-1]])
-    return bs.range_hash(h, begin, stop), starts[begin], stop - begin, np.searchsorted(begin, first)
+    return bs.span_hash(data, starts, ends), starts, np.ones(len(starts), np.int64), first
 
 
 def grams(h: np.ndarray, n_words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first line, end line) of each gram."""
-    total = np.concatenate([[0], np.cumsum(n_words)])
-    stop = np.searchsorted(total, total[:-1] + GRAM_WORDS)
-    whole = np.flatnonzero(stop <= np.repeat(first[1:], np.diff(first)))
-    return whole, stop[whole]
+    whole = np.flatnonzero(np.arange(len(h)) + GRAM_WORDS <= np.repeat(first[1:], np.diff(first)))
+    return whole, whole + GRAM_WORDS
 
 
 def winnow(g: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -75,33 +65,50 @@ def winnow(g: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
     The window of a gram holds those of its document that begin at most SPAN words on.
     """
-    n = len(g)
-    best, place = g.copy(), np.arange(n)
-    k, open_ = 1, np.arange(n)  # windows that reach k grams on
-    while True:
-        open_ = open_[open_ + k < n]
-        open_ = open_[(owner[open_ + k] == owner[open_]) & (at[open_ + k] - at[open_] <= SPAN)]
-        if not len(open_):
-            break
-        less = g[open_ + k] <= best[open_]
-        best[open_[less]] = g[open_ + k][less]
-        place[open_[less]] = (open_ + k)[less]
-        k += 1
-    return np.unique(place)
-
-
-def _context(h: np.ndarray, places: np.ndarray, step: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """REACH lines from each place on as 21 bits each, the nearest lowest; 0 where there is none."""
-    out = np.zeros(len(places), dtype=np.uint64)
-    short = (h >> np.uint64(64 - _BITS)) | np.uint64(1)
+    if not len(g):
+        return np.zeros(0, np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    p = at + owner * SPAN  # so that no window reaches the next document
+    least = np.full(int(p[-1]) + SPAN + 1, ~np.uint64(0))
+    least[p] = (g & ~low) | (low - p.astype(np.uint64))  # of equals the last is the least
+    size = 1
+    while size <= SPAN:  # windows of twice the size
+        step = min(size, SPAN + 1 - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    picked = np.zeros(len(least) + SPAN, dtype=bool)
+    picked[(low - (least[p] & low)).astype(np.int64)] = True
+    return np.flatnonzero(picked[p])
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """_BITS bits of a word's hash, never 0."""
+    return np.maximum(h >> np.uint64(64 - _BITS), np.uint64(1))
+
+
+def _context(short: np.ndarray, places: np.ndarray, step: int, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """REACH words from each place on, _SIDE to a long, the nearest lowest; 0 where there is none."""
+    out = [np.zeros(len(places), dtype=np.uint64) for _ in range(0, REACH, _SIDE)]
     for k in range(REACH):
         at = places + step * k
         inside = (at >= lo) & (at < hi)
-        out |= np.where(inside, short[np.clip(at, 0, max(0, len(h) - 1))], 0).astype(np.uint64) << np.uint64(_BITS * k)
+        out[k // _SIDE] |= np.where(inside, short[np.clip(at, 0, len(short) - 1)], 0).astype(np.uint64) << np.uint64(_BITS * (k % _SIDE))
     return out
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agree(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many words of two contexts agree, from the nearest on."""
+    count, open_ = np.zeros(len(own[0]), np.int64), np.ones(len(own[0]), bool)
+    mask = np.uint64((1 << _BITS) - 1)
+    for k in range(REACH):
+        shift = np.uint64(_BITS * (k % _SIDE))
+        a, b = (own[k // _SIDE] >> shift) & mask, (other[k // _SIDE] >> shift) & mask
+        open_ &= (a == b) & (a > 0)
+        count += open_
+    return count
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], context: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in bs.blocks(batch.column("text")):
             h, _, n_words, first = lines(data, offsets)
@@ -110,17 +117,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             owner = np.searchsorted(first, begin, "right") - 1
             g = bs.range_hash(h, begin, stop)
-            pick = winnow(g, np.concatenate([[0], np.cumsum(n_words)])[begin], owner)
+            pick = winnow(g, begin, owner)
             begin, stop, owner, g = begin[pick], stop[pick], owner[pick], g[pick]
-            row = pa.array(lo + owner)
             mark = batch.column("mark").to_numpy()[lo:hi].astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(g.view(np.int64)), batch.column("doc_id").take(row), pa.array((mark[owner] << 32) | (begin - first[owner])),
-                    pa.array(_context(h, begin - 1, -1, first[owner], first[owner + 1]).view(np.int64)), pa.array(_context(h, stop, 1, first[owner], first[owner + 1]).view(np.int64)),
-                ],
-                names=["g", "doc_id", "at", "before", "after"],
-            )
+            out = {"g": pa.array(g.view(np.int64)), "doc_id": batch.column("doc_id").take(pa.array(lo + owner)), "at": pa.array((mark[owner] << 32) | (begin - first[owner]))}
+            if context:
+                short = _short(h)
+                sides = _context(short, begin - 1, -1, first[owner], first[owner + 1]) + _context(short, stop, 1, first[owner], first[owner + 1])
+                out |= {name: pa.array(x.view(np.int64)) for name, x in zip(_CONTEXT, sides, strict=True)}
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -128,70 +133,58 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(g, doc_id, at, before, after) of each fingerprint; at: mark, then number of the first line."""
+def fingerprints(docs: DataFrame, context: bool = True) -> DataFrame:
+    """(g, doc_id, at) of each fingerprint, and the words around; at: mark, then number of the first line."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _marked(docs.select("doc_id", "text")).mapInArrow(_fingerprints, f"g long, doc_id {kind}, at long, before long, after long")
-
-
-def _equal(a: str, b: str) -> Column:
-    """How many lines of two contexts agree, from the nearest on."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    out = F.lit(0)
-    for k in range(1, REACH + 1):
-        out = F.when(x.bitwiseAND(F.lit((1 << _BITS * k) - 1)) == 0, k).otherwise(out)
-    return out
+    schema = f"g long, doc_id {kind}, at long" + "".join(f", {c} long" for c in _CONTEXT if context)
+    return _marked(docs.select("doc_id", "text")).mapInArrow(lambda batches: _fingerprints(batches, context), schema)
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, line, before, after): fingerprints found earlier, and lines to extend by."""
-    every = fingerprints(docs)
-    first = every.groupBy("g").agg(F.min(F.struct("doc_id", "at", "before", "after")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    """(doc_id, mark, line, and the words around the first position): fingerprints found earlier."""
+    first = fingerprints(docs).groupBy("g").agg(F.min(F.struct("doc_id", "at", *_CONTEXT)).alias("f"), F.count("*").alias("n")).where("n > 1")
     # a written table: the join then has a shuffle on either side, which adaptive execution can split where g is hot
-    first = cut(first, "firsts").select(F.col("g").alias("g0"), F.col("f.doc_id").alias("d0"), F.col("f.at").alias("at0"), F.col("f.before").alias("before0"), F.col("f.after").alias("after0"))
-    later = every.join(first, F.col("g") == F.col("g0")).where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("at") == F.col("at0"))))
-    return later.select(
-        "doc_id", F.shiftright("at", 32).cast("int").alias("mark"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("line"),
-        _equal("before", "before0").alias("before"), _equal("after", "after0").alias("after"),
-    )
-
-
-def cut_runs(text: bytes, line_starts: np.ndarray, n_words: np.ndarray, found: list[dict]) -> tuple[bytes, int, int]:
-    """(text without its repeated runs, words deleted, runs deleted)."""
-    n = len(line_starts)
-    total = np.concatenate([[0], np.cumsum(n_words)])
-    gone = np.zeros(n + 1, dtype=np.int32)
-    for m in found:
-        end = int(np.searchsorted(total, total[m["line"]] + GRAM_WORDS))
-        gone[max(0, m["line"] - m["before"])] += 1
-        gone[min(n, end + m["after"])] -= 1
-    inside = np.cumsum(gone[:n]) > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-    out, at, words, runs = [], 0, 0, 0
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if total[b] - total[a] < MIN_WORDS:
-            continue
-        out.append(text[at : line_starts[a] if a else 0])
-        at = int(line_starts[b]) if b < n else len(text)
-        words += int(total[b] - total[a])
-        runs += 1
-    return b"".join([*out, text[at:]]), words, runs
+    first = cut(first, "firsts").select(F.col("g").alias("g0"), F.col("f.doc_id").alias("d0"), F.col("f.at").alias("at0"), *[F.col(f"f.{c}") for c in _CONTEXT])
+    later = fingerprints(docs, context=False).join(first, F.col("g") == F.col("g0")).where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("at") == F.col("at0"))))
+    return later.select("doc_id", F.shiftright("at", 32).cast("int").alias("mark"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("line"), *_CONTEXT)
+
+
+def repeated(h: np.ndarray, first: np.ndarray, found: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, end line) of the runs to delete; ``found``: the matches of each document."""
+    doc = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+    rows = found.flatten()
+    begin = first[doc] + rows.field("line").to_numpy().astype(np.int64)
+    whole = begin + GRAM_WORDS <= first[doc + 1]
+    doc, begin = doc[whole], begin[whole]
+    theirs = [rows.field(c).to_numpy().view(np.uint64)[whole] for c in _CONTEXT]
+    short, lo, hi, stop = _short(h), first[doc], first[doc + 1], begin + GRAM_WORDS
+    gone = np.zeros(len(h) + 1, dtype=np.int64)
+    np.add.at(gone, begin - _agree(_context(short, begin - 1, -1, lo, hi), theirs[:2]), 1)
+    np.add.at(gone, stop + _agree(_context(short, stop, 1, lo, hi), theirs[2:]), -1)
+    a, b = bs.spans(np.cumsum(gone[:-1]) > 0, first)
+    long = b - a >= MIN_WORDS
+    return a[long], b[long]
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text, found = batch.column("text"), batch.column("found")
         rows = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        some = found.take(pa.array(rows))
         fresh, removed, runs = {}, np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         for lo, hi, data, offsets in bs.blocks(text.take(pa.array(rows))):
-            _, starts, n_words, first = lines(data, offsets)
-            raw = data.tobytes()
-            for k in range(hi - lo):
-                a, b = first[k], first[k + 1]
-                r = int(rows[lo + k])
-                kept, removed[r], runs[r] = cut_runs(raw[offsets[k] : offsets[k + 1]], starts[a:b] - offsets[k], n_words[a:b], found[r].as_py())
-                if runs[r]:
-                    fresh[r] = kept.decode()
+            h, starts, _, first = lines(data, offsets)
+            if not len(h):
+                continue
+            a, b = repeated(h, first, some.slice(lo, hi - lo))
+            raw, owner = data.tobytes(), np.searchsorted(first, a, "right") - 1
+            for k in np.unique(owner).tolist():
+                r, at, kept, own = int(rows[lo + k]), int(offsets[k]), [], owner == k
+                for x, y in zip(a[own].tolist(), b[own].tolist(), strict=True):
+                    kept.append(raw[at : int(starts[x]) if x > first[k] else int(offsets[k])])
+                    at = int(starts[y]) if y < first[k + 1] else int(offsets[k + 1])
+                fresh[r] = b"".join([*kept, raw[at : offsets[k + 1]]]).decode()
+                removed[r], runs[r] = int((b - a)[own].sum()), int(own.sum())
         if fresh:
             mask = np.zeros(batch.num_rows, dtype=bool)
             mask[list(fresh)] = True
@@ -203,7 +196,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated runs deleted from ``text``, and removed_words and removed_runs."""
-    found = matches(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("line", "before", "after")).alias("found"))
+    found = matches(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("line", *_CONTEXT)).alias("found"))
     found = found.select(F.col("doc_id").alias("f_doc"), F.col("mark").alias("f_mark"), "found")
     names = [c for c in docs.columns if c not in ("removed_words", "removed_runs")]
     inner = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]).alias("rest")) if len(names) > 2 else docs.select("doc_id", "text")

@@ -86,3 +86,26 @@ def test_empty_and_ids_that_are_equal(spark, empty):
     _, out = run(spark, [(1, a), (1, b), (2, a), (None, b)])
     done = sorted((r["doc_id"] or 0, r["removed_words"] > 0) for r in out)
     assert done == [(0, False), (1, False), (1, True), (2, True)]  # null ids come first
+
+
+def embedded(rng, passage, own):
+    """Two texts of ``own`` words on either side of ``passage``, mid-line."""
+    fresh = lambda: " ".join(f"x{rng.randrange(10**9)}" for _ in range(own))
+    return [f"{fresh()} {passage} {fresh()}" for _ in range(2)]
+
+
+def test_passages_of_51_words_go_whole_wherever_lines_fall(spark):
+    rng = random.Random(10)
+    rows, want = [], {}
+    for i in range(200):
+        w = [f"p{rng.randrange(10**9)}" for _ in range(51)]
+        if i % 2:  # long sentences, begun and ended outside the passage
+            w = [x + "." if (k + i) % (14 + i % 15) == 0 else x for k, x in enumerate(w)]
+        a, b = embedded(rng, " ".join(w), 30 + i % 17)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        want[2 * i + 1] = b.replace(" ".join(w) + " ", "")
+    got, _ = run(spark, rows)
+    assert all(got[2 * i]["text"] == rows[2 * i][1] for i in range(200))
+    exact = sum(got[i]["text"] == t for i, t in want.items())
+    assert all(got[i]["removed_runs"] == 1 and 51 <= got[i]["removed_words"] <= 52 for i in want)
+    assert exact >= 198  # neighbouring words are told apart by 10 bits
