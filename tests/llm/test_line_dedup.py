@@ -109,3 +109,19 @@ def test_passages_of_51_words_go_whole_wherever_lines_fall(spark):
     exact = sum(got[i]["text"] == t for i, t in want.items())
     assert all(got[i]["removed_runs"] == 1 and 51 <= got[i]["removed_words"] <= 52 for i in want)
     assert exact >= 198  # neighbouring words are told apart by 10 bits
+
+
+def test_runs_of_very_short_lines_go_whole(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(100):
+        w = [f"p{rng.randrange(10**9)}" for _ in range(52)]
+        passage = "".join(x + (" " if i % 2 and k % 2 == 0 else "\n") for k, x in enumerate(w))  # one or two words a line
+        for k in range(2):
+            before, after = ("".join(f"x{rng.randrange(10**9)}\n" for _ in range(30 + i % 7)) for _ in range(2))
+            rows.append((2 * i + k, before + passage + after))
+        want[2 * i + 1] = before + after
+    got, _ = run(spark, rows)
+    assert all(got[2 * i]["text"] == rows[2 * i][1] for i in range(100))
+    assert all(52 <= got[i]["removed_words"] <= 53 for i in want)
+    assert sum(got[i]["text"] == t for i, t in want.items()) >= 98
