@@ -250,11 +250,16 @@ def hex_of(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their component_id in ``found``, once each, and those without an id."""
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    with_id = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
+    return with_id.unionByName(docs.where("doc_id is null"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the least doc_id.
 
     Of repeated rows with that id one stays. Rows with a null id all stay.
     """
-    stay = classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    with_id = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id is null"))
+    return keep_least(docs, classes(docs))
