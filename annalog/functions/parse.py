@@ -11,25 +11,29 @@ PRESETS = {"5m": timedelta(minutes=5), "15m": timedelta(minutes=15), "1h": timed
 _UNITS = {"m": "minutes", "h": "hours", "d": "days"}
 
 
-def tag(text: str) -> tuple[str, str]:
-    """``key=value``, split at the first ``=``; the key is trimmed and not blank."""
+DEFAULT_LIMIT = 100
+
+
+def tag(text: str, trim: bool = True) -> tuple[str, str]:
+    """``key=value``, split at the first ``=``; the key is not blank, and trimmed unless told otherwise."""
     key, sign, value = text.partition("=")
     if not sign or not key.strip():
         raise ValueError(f"not key=value: {text!r}")
-    return key.strip(), value
+    return key.strip() if trim else key, value
 
 
-def tags(texts: list[str]) -> dict[str, str]:
+def tags(texts: list[str], trim: bool = True) -> dict[str, str]:
     """Tags by key; of a repeated key the last one counts."""
-    return dict(tag(t) for t in texts)
+    return dict(tag(t, trim) for t in texts)
 
 
 def instant(text: str, now: datetime | None = None) -> datetime:
-    """So many minutes, hours or days ago (``15m``, ``6h``, ``2d``), or ISO-8601."""
+    """So many minutes, hours or days ago (``15m``, ``6h``, ``2d``), or ISO-8601: with a zone, or in UTC."""
     if m := re.fullmatch(r"(\d+)([mhd])", text.strip()):
         return (now or datetime.now(UTC)) - timedelta(**{_UNITS[m[2]]: int(m[1])})
     try:
-        return datetime.fromisoformat(text.strip())
+        at = datetime.fromisoformat(text.strip())
+        return at if at.tzinfo else at.replace(tzinfo=UTC)
     except ValueError:
         raise ValueError(f"neither a span of time nor ISO-8601: {text!r}") from None
 
@@ -47,6 +51,13 @@ def lenient_limit(value: int | None) -> int | None:
     return value if value is not None and value > 0 else None
 
 
+def command_limit(value: int | None) -> int:
+    """A bound from a command line: DEFAULT_LIMIT where absent, else positive."""
+    if value is not None and value <= 0:
+        raise ValueError(f"a limit must be positive: {value!r}")
+    return DEFAULT_LIMIT if value is None else value
+
+
 def seconds_and_nanos(at: datetime) -> tuple[int, int]:
     """An instant as whole seconds of the epoch and nanoseconds."""
     whole = at if at.tzinfo else at.replace(tzinfo=UTC)

@@ -1,7 +1,8 @@
 """The store's reads as queries over the test tables, each with its SQL equivalent.
 
 ``position`` is a log's order and shows it in results that have no order of their own;
-limited reads add ``rn``, the place in the result.
+limited reads add ``rn``, the place in the result. Those named ``store_`` load a table
+into a log of a real store, append to it and compact it, and read through the facade.
 """
 
 from __future__ import annotations
@@ -9,19 +10,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annalog.functions.columns import has_tags
+from annalog.functions import parse
+from annalog.functions.columns import has_tags, payload_text, text_of, to_the_second, wire_message
 from annalog.operators import reads, tag_index
 from annalog.plans import conditions
-from annalog.plans.tag_query import compile_query
 from annalog.sources.log import Log, load
+from annalog.store import Annals
 from annalog.sources.tables import ACTIVITY, DIALOGUE, ORDERS, STORES
 from annalog.streaming.source import read_stream
-from annalog.values import Direction, NoMatch, TagQuery, TagsOnly, TimeRange, TypesAndTags
+from annalog.values import (
+    After,
+    AllOf,
+    AppendRequest,
+    Direction,
+    ExpectedLastFact,
+    FactInput,
+    NoCondition,
+    NoMatch,
+    Payload,
+    TagQuery,
+    TagsOnly,
+    TimeRange,
+    TypesAndTags,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 BACK = Direction.BACKWARD
@@ -101,6 +117,13 @@ def time_bounded(spark: SparkSession, d: str) -> DataFrame:
     return _shown(reads.in_time_range(ACTIVITY.read(spark, d), TimeRange(_FROM, _TO)))
 
 
+@_query(f"select {_COLS} from activity where appended_at >= timestamp '2024-01-05' and appended_at < timestamp '2024-01-08'")
+def time_zoned_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """One bound with a zone, one from text: both are instants."""
+    span = TimeRange(datetime(2024, 1, 5, 2, tzinfo=timezone(timedelta(hours=2))), parse.instant("2024-01-07T23:00:00-01:00"))
+    return _shown(reads.in_time_range(ACTIVITY.read(spark, d), span))
+
+
 @_query(f"select {_COLS} from activity where appended_at >= timestamp '2024-01-05'")
 def time_from(spark: SparkSession, d: str) -> DataFrame:
     return _shown(reads.in_time_range(ACTIVITY.read(spark, d), TimeRange(_FROM, None)))
@@ -151,9 +174,9 @@ def tags_backward_limit(spark: SparkSession, d: str) -> DataFrame:
     return _numbered(reads.by_tags(ORDERS.read(spark, d), {"priority": "5-LOW"}, 10, BACK), F.desc("position"))
 
 
-@_query(f"select {_COLS}, row_number() over (order by position desc) as rn from activity where t_user = '13' and t_k is not null and t_k = '5' order by position desc limit 10")
+@_query(f"select {_COLS}, row_number() over (order by position desc) as rn from activity where t_user = '13' and t_k = '87' order by position desc limit 10")
 def tags_multi_backward_limit(spark: SparkSession, d: str) -> DataFrame:
-    return _numbered(reads.by_tags(ACTIVITY.read(spark, d), {"user": "13", "k": "5"}, 10, BACK), F.desc("position"))
+    return _numbered(reads.by_tags(ACTIVITY.read(spark, d), {"user": "13", "k": "87"}, 10, BACK), F.desc("position"))
 
 
 @_query(f"select {_COLS} from activity where type = 'click' and t_k = '87'")
@@ -166,9 +189,11 @@ def query_multi_type(spark: SparkSession, d: str) -> DataFrame:
     return _shown(reads.by_tag_query(ACTIVITY.read(spark, d), TagQuery(TypesAndTags({"click", "error", "view"}, {"k": "12"}))))
 
 
-@_query(f"select {_COLS} from activity where type = 'signup' and t_k = '12' and t_user = '40'")
+@_query(f"select {_COLS} from activity where type in (select type from activity where position = 500) and t_k in (select t_k from activity where position = 500) and t_user in (select t_user from activity where position = 500)")
 def query_multi_tag(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(reads.by_tag_query(ACTIVITY.read(spark, d), TagQuery(TypesAndTags({"signup"}, {"k": "12", "user": "40"}))))
+    """The type and both tags of fact 500, which is found at least."""
+    one = ACTIVITY.read(spark, d, fact_id="e-500").first()
+    return _shown(reads.by_tag_query(ACTIVITY.read(spark, d), TagQuery(TypesAndTags({one["type"]}, one["tags"]))))
 
 
 @_query(f"select {_COLS} from activity where t_k = '3' and t_user = '21'")
@@ -203,35 +228,53 @@ def head_position(spark: SparkSession, d: str) -> DataFrame:
     return reads.head(ACTIVITY.read(spark, d))
 
 
-@_query("select coalesce(max(position) = 500, false) as holds from activity where subject = (select subject from activity where position = 500)")
-def expected_last_check(spark: SparkSession, d: str) -> DataFrame:
-    """Whether fact 500 is the last of its subject."""
-    facts = ACTIVITY.read(spark, d)
-    mine = ACTIVITY.read(spark, d, fact_id="e-500").select(F.col("subject").alias("s"))
-    last = facts.join(F.broadcast(mine), F.col("subject") == F.col("s"), "left_semi").agg(F.max_by("fact_id", "position").alias("last"))
-    return last.select(F.coalesce(F.col("last") == "e-500", F.lit(False)).alias("holds"))
+CONFLICT = TagQuery(TypesAndTags({"purchase"}, {"user": "13"}))
 
 
-CONFLICT = TagQuery(TypesAndTags({"purchase"}, {"user": "13"}))
+def _holds(spark: SparkSession, **cases: bool) -> DataFrame:
+    return spark.createDataFrame([(k, v) for k, v in cases.items()], "condition string, holds boolean")
+
+
+@_query(
+    """select 'last' as condition, (select max(position) from activity where subject = 'user/13') = (select max(position) from activity where type = 'click' and subject = 'user/13') as holds
+    union all select 'none', not exists (select * from activity where subject = 'user/nobody') union all select 'some', not exists (select * from activity where subject = 'user/13')"""
+)
+def expected_last_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a subject's last click is its last fact, and whether it has none."""
+    facts = ACTIVITY.read(spark, d)
+    click = conditions.last_fact(facts.where("type = 'click'"), "user/13")
+    held = lambda subject, fact_id=None: conditions.holds(ExpectedLastFact(subject, fact_id), conditions.Scan(facts))
+    return _holds(spark, last=held("user/13", click), none=held("user/nobody"), some=held("user/13"))
 
 
-@_query("select count(*) = 0 as holds from activity where type = 'purchase' and t_user = '13'")
+@_query("select 'conflict' as condition, count(*) filter (where type = 'purchase' and t_user = '13') = 0 as holds from activity union all select 'free', count(*) filter (where type = 'purchase' and t_user = 'none') = 0 from activity")
 def condition_tag_query_no_cursor(spark: SparkSession, d: str) -> DataFrame:
-    found = conditions.conflicting(ACTIVITY.read(spark, d), NoMatch(CONFLICT))
-    return found.agg((F.count("*") == 0).alias("holds"))
+    base = conditions.Scan(ACTIVITY.read(spark, d))
+    free = TagQuery(TypesAndTags({"purchase"}, {"user": "none"}))
+    return _holds(spark, conflict=conditions.holds(NoMatch(CONFLICT), base), free=conditions.holds(NoMatch(free), base))
 
 
-@_query("select count(*) = 0 as holds from activity where type = 'purchase' and t_user = '13' and position > 900")
+@_query(
+    """select 'early' as condition, count(*) filter (where type = 'purchase' and t_user = '13' and position > 1) = 0 as holds from activity
+    union all select 'late', count(*) filter (where type = 'purchase' and t_user = '13' and position > (select max(position) - 20 from activity)) = 0 from activity
+    union all select 'unknown', false"""
+)
 def condition_tag_query_after(spark: SparkSession, d: str) -> DataFrame:
-    found = reads.between(ACTIVITY.read(spark, d), 900, None).where(compile_query(CONFLICT))
-    return found.agg((F.count("*") == 0).alias("holds"))
+    """The cursor is a fact's id; an unknown one violates the condition."""
+    facts = ACTIVITY.read(spark, d)
+    late = facts.where(F.col("position") == reads.head(facts).first()[0] - 20).first()["fact_id"]
+    held = lambda cursor: conditions.holds(NoMatch(CONFLICT, cursor), conditions.Scan(facts))
+    return _holds(spark, early=held("e-1"), late=held(late), unknown=held("e-none"))
 
 
-@_query("select count(*) filter (where type = 'purchase' and t_user = '13') = 0 and count(*) filter (where t_k = 'none') = 0 as holds from activity")
+@_query(
+    """select 'both' as condition, count(*) filter (where t_user = 'none') = 0 and count(*) filter (where subject = 'user/nobody') = 0 as holds from activity
+    union all select 'one', count(*) filter (where t_user = 'none') = 0 and count(*) filter (where type = 'purchase' and t_user = '13') = 0 from activity"""
+)
 def condition_all(spark: SparkSession, d: str) -> DataFrame:
-    """A conjunction in one pass over the log."""
-    parts = [F.count_if(compile_query(q)) == 0 for q in (CONFLICT, TagQuery(TagsOnly({"k": "none"})))]
-    return ACTIVITY.read(spark, d).agg((parts[0] & parts[1]).alias("holds"))
+    base = conditions.Scan(ACTIVITY.read(spark, d))
+    free = NoMatch(TagQuery(TagsOnly({"user": "none"})))
+    return _holds(spark, both=conditions.holds(AllOf(free, ExpectedLastFact("user/nobody")), base), one=conditions.holds(AllOf(free, NoMatch(CONFLICT)), base))
 
 
 @_query(f"select {_COLS} from activity")
@@ -269,24 +312,33 @@ def store_isolation(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@_query("select name, n from (select 'activity' as name, (select count(*) from activity) as n union all select 'dialogue', (select count(*) from dialogue) union all select 'orders', (select count(*) from purchases))")
-def list_stores(spark: SparkSession, d: str) -> DataFrame:
-    """Each store with the number of its facts."""
-    parts = [STORES[n].read(spark, d).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in sorted(STORES)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+@_query("select fact_id, type, subject, strftime(date_trunc('second', appended_at), '%Y-%m-%dT%H:%M:%SZ') as at, t_user as user_tag from activity")
+def project_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The text table's projection: time to the second, and a tag by its key."""
+    return ACTIVITY.read(spark, d).select("fact_id", "type", "subject", to_the_second().alias("at"), F.col("tags")["user"].alias("user_tag"))
 
 
-@_query("select count(*) > 0 as found from (values ('activity'), ('dialogue'), ('orders')) as s(name) where name = 'orders'")
-def store_exists(spark: SparkSession, d: str) -> DataFrame:
-    catalog = spark.createDataFrame([(n,) for n in STORES], "name string")
-    return catalog.where(F.col("name") == "orders").agg((F.count("*") > 0).alias("found"))
+@_query("select position, epoch_us(appended_at) // 1000000 as seconds, (epoch_us(appended_at) % 1000000) * 1000 as nanos from activity")
+def project_wire(spark: SparkSession, d: str) -> DataFrame:
+    """An instant as seconds and nanoseconds, as the wire message has it."""
+    empty = F.struct(F.lit(b"").alias("data"), F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("schema_ref"))
+    facts = ACTIVITY.read(spark, d).withColumn("payload", empty).withColumn("metadata", F.create_map().cast("map<string,string>"))
+    return facts.select("position", *wire_message()).select("position", "appended_at.seconds", F.col("appended_at.nanos").cast("long").alias("nanos"))
 
 
-@_query("select fact_id, type, subject, strftime(date_trunc('second', appended_at), '%Y-%m-%dT%H:%M:%SZ') as at, t_user as user_tag from activity where position between 1 and 50")
-def project_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The text table's projection: time to the second, and a tag by its key."""
-    facts = reads.between(ACTIVITY.read(spark, d), 0, 50)
-    return facts.select("fact_id", "type", "subject", F.date_format(F.date_trunc("second", "appended_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.col("tags")["user"].alias("user_tag"))
+@_query(
+    "select position, type || ' ' || subject as decoded, case when position % 2 = 0 then t_user else t_user || '!' end as given, "
+    "case when position % 3 = 0 then chr(65533) || chr(65533) || type else type end as shown from activity"
+)
+def project_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Base64 to text, text that isn't base64 as it is, and bytes that aren't UTF-8 without a failure."""
+    facts = ACTIVITY.read(spark, d)
+    encoded = F.base64(F.concat_ws(" ", "type", "subject").cast("binary"))
+    number = F.col("tags")["user"]
+    # a number as base64 would be other text, or none: held against what isn't base64 and what isn't UTF-8
+    given = F.when(F.col("position") % 2 == 0, F.concat(F.lit("~"), number)).otherwise(F.concat(F.lit("~"), number, F.lit("!")))
+    broken = F.when(F.col("position") % 3 == 0, F.concat(F.lit(b"\xff\xfe"), F.col("type").cast("binary"))).otherwise(F.col("type").cast("binary"))
+    return facts.select("position", payload_text(encoded).alias("decoded"), F.substring(payload_text(given), 2, 100).alias("given"), text_of(broken).alias("shown"))
 
 
 @_query("select (select count(*) from activity where t_user = '13') as with_tag, (select count(*) from activity where not coalesce(t_user = '13', false)) as without_tag")
@@ -296,20 +348,189 @@ def tag_negation(spark: SparkSession, d: str) -> DataFrame:
     return ACTIVITY.read(spark, d).agg(F.count_if(match).alias("with_tag"), F.count_if(~match).alias("without_tag"))
 
 
-@_query(None)
+# --- a real store -------------------------------------------------------------------
+
+_STORES: dict[tuple[str, str], Annals] = {}
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a machine's own only where that machine is all there is."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=f"annalog-{name}-")
+
+
+def _loaded(spark: SparkSession, d: str) -> Annals:
+    """A store ``activity`` with the table's facts: all but the last tenth compacted, then two runs more, then a commit.
+
+    Kept for the session: the entries that use it only read.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        store = Annals(spark, _scratch(spark, "store"))
+        store.create_store("activity")
+        log, facts = store.log("activity"), ACTIVITY.read(spark, d)
+        head = reads.head(facts).first()[0]
+        edges = [None, head * 9 // 10, head * 19 // 20, head * 39 // 40, head]
+        for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+            load(log, reads.between(facts, low, high))
+            if i < 3:
+                log.compact()
+        _STORES[key] = store
+    return _STORES[key]
+
+
+_ROWS = "row_number() over (order by position) as position, fact_id, type, subject"
+_LOGGED = f"(select {_ROWS}, t_user, t_k from activity) as logged"
+
+
+@_query(f"select {_COLS} from {_LOGGED} where fact_id in ('e-500', 'e-990')")
+def store_find_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """By the side table of ids, each of two facts in a look-up of its own."""
+    store = _loaded(spark, d)
+    found = [store.find_by_id("activity", i).value.asDict(recursive=True) for i in ("e-500", "e-990")]
+    return spark.createDataFrame([tuple(f[c] for c in SHOWN) for f in found], "position long, fact_id string, type string, subject string")
+
+
+@_query(f"select {_COLS} from {_LOGGED} where subject = 'user/7'")
+def store_subject(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_loaded(spark, d).find_by_subject("activity", "user/7").value)
+
+
+@_query(f"select {_COLS}, row_number() over (order by position desc) as rn from {_LOGGED} where subject = 'user/7' order by position desc limit 5")
+def store_subject_backward_limit(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered(_loaded(spark, d).find_by_subject("activity", "user/7", 5, BACK).value, F.desc("position"))
+
+
+@_query(f"select {_COLS} from {_LOGGED} where t_user = '13' and t_k = '87'")
+def store_tags(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_loaded(spark, d).find_by_tags("activity", {"user": "13", "k": "87"}).value)
+
+
+@_query(f"select {_COLS} from {_LOGGED} where {FEW_SQL}")
+def store_tag_query(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_loaded(spark, d).find_by_tag_query("activity", FEW).value)
+
+
+@_query(f"select {_COLS} from {_LOGGED} where position > (select position from {_LOGGED} where fact_id = 'e-600')")
+def store_replay_after(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_loaded(spark, d).replay("activity", After("e-600")).value)
+
+
+@_query(
+    f"""select 'last' as condition, true as holds union all select 'other', false union all select 'no_subject', true
+    union all select 'match', (select count(*) from {_LOGGED} where type = 'purchase' and t_user = '13') = 0
+    union all select 'match_after', (select count(*) from {_LOGGED} where type = 'purchase' and t_user = '13' and position > (select max(position) - 20 from {_LOGGED})) = 0
+    union all select 'unknown', false union all select 'all', false"""
+)
+def store_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions held against side tables and recent facts, as an append would hold them."""
+    store = _loaded(spark, d)
+    mine = store.find_by_subject("activity", "user/7", 2, BACK).value.collect()
+    late = store.facts("activity").value.orderBy(F.desc("position")).limit(21).collect()[-1]["fact_id"]
+    ask = lambda condition: store.condition_holds("activity", condition)
+    last = ExpectedLastFact("user/7", mine[0]["fact_id"])
+    return _holds(
+        spark, last=ask(last), other=ask(ExpectedLastFact("user/7", mine[1]["fact_id"])), no_subject=ask(ExpectedLastFact("user/nobody")),
+        match=ask(NoMatch(CONFLICT)), match_after=ask(NoMatch(CONFLICT, late)), unknown=ask(NoMatch(CONFLICT, "e-none")), all=ask(AllOf(last, NoMatch(CONFLICT))),
+    )
+
+
+@_query(
+    """select * from (values (1, 'Appended', 2), (2, 'AlreadyApplied', 2), (3, 'ConditionViolated', 2), (4, 'Appended', 3), (5, 'Appended', 4), (6, 'ConditionViolated', 4),
+    (7, 'Appended', 5), (8, 'AlreadyApplied', 5), (9, 'StoreNotFound', 5)) as t(step, outcome, head)"""
+)
+def store_appends(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of appends in turn, with a compaction between, and the head after each."""
+    store = Annals(spark, _scratch(spark, "appends"))
+    store.create_store("main")
+    one = lambda kind, subject, **tags: FactInput(kind, subject, Payload(b"{}"), tags=tags)
+    once, free, later = str(uuid.uuid4()), str(uuid.uuid4()), str(uuid.uuid4())
+    steps = []
+
+    def step(request: AppendRequest, name: str = "main"):
+        done = store.append_request(name, request)
+        steps.append((len(steps) + 1, type(done).__name__, reads.head(store.facts("main").value).first()[0]))
+        return done
+
+    first = step(AppendRequest((one("placed", "order/1", region="eu"), one("placed", "order/2", region="us")), NoCondition(), once))
+    step(AppendRequest((one("placed", "order/3"),), NoCondition(), once))
+    step(AppendRequest((one("paid", "order/1"),), ExpectedLastFact("order/1", first.fact_ids[1]), free))
+    step(AppendRequest((one("paid", "order/1"),), ExpectedLastFact("order/1", first.fact_ids[0]), free))  # the key was left free
+    store.compact("main")
+    step(AppendRequest((one("paid", "order/2", region="us"),), NoMatch(TagQuery(TypesAndTags({"paid"}, {"region": "us"})))))
+    step(AppendRequest((one("paid", "order/2", region="us"),), NoMatch(TagQuery(TypesAndTags({"paid"}, {"region": "us"})))))
+    step(AppendRequest((one("sent", "order/1"),), AllOf(ExpectedLastFact("order/9"), NoMatch(TagQuery(TagsOnly({"region": "eu"})), first.fact_ids[0])), later))
+    store.compact("main")
+    step(AppendRequest((one("sent", "order/1"),), NoCondition(), later))
+    step(AppendRequest((one("sent", "order/1"),)), "none")
+    return spark.createDataFrame(steps, "step int, outcome string, head int")
+
+
+@_query(
+    """select * from (values (1, 'create activity', 'StoreCreated', 'activity'), (2, 'create activity', 'StoreNameTaken', 'activity'), (3, 'create orders', 'StoreCreated', 'activity,orders'),
+    (4, 'exists orders', 'Exists', 'activity,orders'), (5, 'exists dialogue', 'DoesNotExist', 'activity,orders'), (6, 'find orders', 'Found', 'activity,orders'), (7, 'find dialogue', 'NotFound', 'activity,orders'),
+    (8, 'remove orders', 'StoreRemoved', 'activity'), (9, 'remove orders', 'StoreNotFound', 'activity'), (10, 'create orders', 'StoreCreated', 'activity,orders')) as t(step, call, outcome, names)"""
+)
+def store_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Stores made, found, listed and removed."""
+    store = Annals(spark, _scratch(spark, "catalog"))
+    calls = {"create": store.create_store, "exists": store.store_exists, "find": store.find_store, "remove": store.remove_store}
+    steps = []
+    for call in ("create activity", "create activity", "create orders", "exists orders", "exists dialogue", "find orders", "find dialogue", "remove orders", "remove orders", "create orders"):
+        verb, name = call.split()
+        outcome = type(calls[verb](name)).__name__
+        steps.append((len(steps) + 1, call, outcome, ",".join(s.name for s in store.list_stores())))
+    return spark.createDataFrame(steps, "step int, call string, outcome string, names string")
+
+
+@_query("select 'activity' as name, (select count(*) from activity) as n, 0 as n_after union all select 'orders', (select count(*) from purchases), (select count(*) from purchases)")
+def list_stores(spark: SparkSession, d: str) -> DataFrame:
+    """Each store of a catalog with the number of its facts, before and after one is removed and made again."""
+    store = Annals(spark, _scratch(spark, "list"))
+    for name in ("activity", "orders"):
+        store.create_store(name)
+        load(store.log(name), STORES[name].read(spark, d))
+    sizes = lambda: {s.name: store.facts(s.name).value.count() for s in store.list_stores()}
+    before = sizes()
+    store.remove_store("activity")
+    store.create_store("activity")
+    after = sizes()
+    return spark.createDataFrame([(n, before[n], after[n]) for n in sorted(before)], "name string, n long, n_after int")
+
+
+@_query("select name, name = 'activity' as found from (values ('activity'), ('dialogue')) as s(name)")
+def store_exists(spark: SparkSession, d: str) -> DataFrame:
+    store = _loaded(spark, d)
+    return spark.createDataFrame([(n, type(store.store_exists(n)).__name__ == "Exists") for n in ("activity", "dialogue")], "name string, found boolean")
+
+
+def _streamed(spark: SparkSession, log: Log, after: int, most: int) -> DataFrame:
+    root = _scratch(spark, "stream")
+    stream = read_stream(spark, log.path, after, most).select(*SHOWN, F.col("tags")["user"].alias("user_tag"))
+    query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@_query(f"select {_ROWS}, t_user as user_tag from activity")
 def subscribe_available_now(spark: SparkSession, d: str) -> DataFrame:
     """Facts of ``activity`` appended to a store of its own, then read as a stream until its end.
 
     The table keeps its order through the append; the stream's rows land in a table.
     """
-    root = tempfile.mkdtemp(prefix="annalog-stream-") if not (shared := spark.sparkContext.getConf().get("spark.checkpoint.dir")) else f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    log = Log(spark, f"{root}/log")
+    log = Log(spark, f"{_scratch(spark, 'stream')}/log")
     load(log, ACTIVITY.read(spark, d))
-    out = f"{root}/out"
-    stream = read_stream(spark, log.path, most=4000).select(*SHOWN, F.col("tags")["user"].alias("user_tag"))
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return _streamed(spark, log, 0, 4000)
+
+
+@_query(f"select {_COLS}, t_user as user_tag from {_LOGGED} where position > 300")
+def subscribe_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """A stream from a position on, over three runs and a commit."""
+    return _streamed(spark, _loaded(spark, d).log("activity"), 300, 1000)
 
 
 def queries() -> dict[str, Query]:

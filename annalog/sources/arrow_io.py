@@ -9,6 +9,8 @@ from __future__ import annotations
 from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 
@@ -50,3 +52,13 @@ def write_batch(path: str, rows: list[dict]) -> None:
 def read_batch(path: str, columns: list[str]) -> list[dict]:
     fs, found = files(path)
     return [r for f in found for r in pq.read_table(f, filesystem=fs, columns=columns).to_pylist(maps_as_pydicts="lossy")]
+
+
+def sorted_table(path: str) -> ds.Dataset:
+    """A written table whose row groups a look-up of its sort key can skip."""
+    fs, found = files(path)
+    return ds.dataset(found, filesystem=fs, format="parquet")
+
+
+def holds(table: ds.Dataset, column: str, value: str) -> bool:
+    return table.head(1, filter=pc.field(column) == value, columns=[column]).num_rows > 0

@@ -10,9 +10,10 @@ import re
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import UTC, datetime
 from enum import Enum
 
+#: Fixed value: what a store's name may be.
 STORE_NAME = re.compile(r"[A-Za-z](?:[A-Za-z0-9_-]{0,253}[A-Za-z0-9])?")
 
 
@@ -50,14 +51,21 @@ class Direction(Enum):
             raise ValueError(f"not a direction: {text!r}") from None
 
 
+def utc(at: datetime | None) -> datetime | None:
+    """An instant as facts keep it: UTC without a zone. One without a zone is taken as UTC."""
+    return at.astimezone(UTC).replace(tzinfo=None) if at is not None and at.tzinfo else at
+
+
 @dataclass(frozen=True)
 class TimeRange:
-    """Half-open: start is inside, end is not. A bound left out is open."""
+    """Half-open: start is inside, end is not. A bound left out is open. Bounds may have zones, or none."""
 
     start: datetime | None = None
     end: datetime | None = None
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "start", utc(self.start))
+        object.__setattr__(self, "end", utc(self.end))
         _require(self.start is None or self.end is None or self.start < self.end, "a time range must start before it ends")
 
 

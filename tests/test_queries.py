@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from annalog import queries as core
@@ -38,7 +39,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql_or_says_why(data):
-    assert set(core.oracle_sql()) == set(core.queries()) - {"subscribe_available_now"}
+    assert set(core.oracle_sql()) == set(core.queries())
 
 
 def plan(frame):
@@ -73,18 +74,25 @@ def test_renderings(spark):
     row = df.select(*columns.table_row()).first()
     assert row["appended_at"] == "2024-01-02T03:04:05Z" and row["payload"] == "a b" + "c" * 37 + "…"
     assert '"payload":{"data":"' in df.select(columns.json_line().alias("j")).first()["j"]
-    texts = spark.createDataFrame([("aGk=",), ("not base64!",), (None,)], "t string")
-    assert [r[0] for r in texts.select(columns.payload_text(texts["t"])).collect()] == ["hi", "not base64!", None]
-
-
-def test_a_stream_brings_the_whole_table(spark, data):
-    got = core.subscribe_available_now(spark, data)
-    want = ACTIVITY.read(spark, data).select(*core.SHOWN, "tags")
-    assert got.count() == want.count()
-    # ids in the order of positions are those of the table
-    order = [r["fact_id"] for r in got.orderBy("position").collect()]
-    assert order == [r["fact_id"] for r in want.orderBy("position").collect()]
-    assert [r["position"] for r in got.orderBy("position").collect()] == list(range(1, len(order) + 1))
+    assert "\n" in df.select(columns.json_line(pretty=True).alias("j")).first()["j"] and "\n" not in df.select(columns.json_line().alias("j")).first()["j"]
+    texts = spark.createDataFrame([("aGk=",), ("not base64!",), ("//4=",), (None,)], "t string")
+    assert [r[0] for r in texts.select(columns.payload_text(texts["t"])).collect()] == ["hi", "not base64!", "//4=", None]
+    odd = df.withColumn("payload", F.struct(F.lit(b"\xff\xfe ok").alias("data"), F.lit("f").alias("format"), F.lit("s").alias("schema_ref")))
+    assert odd.select(*columns.table_row()).first()["payload"].endswith(" ok")
+    message = odd.select(*columns.wire_message()).first()
+    assert message["payload"]["schema"] == "s" and message["appended_at"]["seconds"] == 1704164645 and message["appended_at"]["nanos"] == 678_000_000
+    for text, seconds, nanos in (("1969-12-31 23:59:59.5", -1, 500_000_000), ("2024-03-31 02:30:00", 1711852200, 0)):
+        at = odd.withColumn("appended_at", F.lit(text).cast("timestamp_ntz")).select(*columns.wire_message()).first()["appended_at"]
+        assert (at["seconds"], at["nanos"]) == (seconds, nanos)
+
+
+def test_times_are_utc_whatever_the_session_says(spark):
+    df = spark.sql("select 'i' fact_id, 't' type, 's' subject, timestamp_ntz '2024-03-31 02:30:00.5' appended_at, named_struct('data', cast('x' as binary)) payload")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # where that hour doesn't exist
+    try:
+        assert df.select(*columns.table_row()).first()["appended_at"] == "2024-03-31T02:30:00Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_a_tag_of_a_view_is_its_column(spark, data):

@@ -95,3 +95,10 @@ def test_ids_and_lenient_limits():
     with pytest.raises(ValueError):
         parse.fact_id("nobody")
     assert [parse.lenient_limit(n) for n in (None, 0, -3, 7)] == [None, None, None, 7]
+
+
+def test_tags_and_limits_of_a_command_line_and_of_a_query_string():
+    assert parse.tags([" a =1=2", "b="]) == {"a": "1=2", "b": ""} and parse.tags([" a =1"], trim=False) == {" a ": "1"}
+    assert parse.command_limit(None) == 100 and parse.command_limit(7) == 7
+    with pytest.raises(ValueError):
+        parse.command_limit(0)
