@@ -1,31 +1,47 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
-P(word | context) = P(class | context) P(word | class). The class factor is a maximum-
-entropy model over hashed features of the context: the previous word, the one before
-it (a skip), and the pair of both (an n-gram). A word's class joins two things: its
-neighbourhood (the commonest words are clustered by which common words they share
-documents with) and, for all other words, its written form. The word factor is its share
-of the class, add-one smoothed, with one outcome a class for words never seen.
-
-Training makes ``ROUNDS`` passes, each over its own share of the training documents, so
-that all are used once. In a pass every worker takes minibatch gradient steps from
-the present weights, and the weights are averaged over workers by their tokens. Workers
-are twice as many as cores or as many as shuffle partitions, if those are more.
+A word is reached by a path of choices: first its class, then groups of words inside the
+class (a Huffman tree, so common words are near), at last the word itself. Each choice is
+a softmax over at most ``WAYS`` outcomes, and P(word | context) is the product of those
+on its path, so every factor, the word's own among them, depends on the context:
+
+    logit(outcome | node, context) = log prior + sum over features of weight[hash(feature, node), outcome]
+
+The features are the previous word, the one before it (a skip), and the pair of both (an
+n-gram). Classes join two things: the commonest words are clustered by their
+neighbours in all training texts, the other head words by their written form. Words
+beyond the ``HEAD`` commonest are a class a form, in which a word has its share of the
+counts, add-one smoothed, with one outcome a form for words never seen. At weight zero the
+model is the smoothed unigram model; all probabilities of a context sum to one.
+
+Training is distributed: texts are dealt to groups by a hash, each group takes minibatch
+gradient steps from the present weights, and rows of weights are averaged over groups by
+how often each met the row, so a row that one group alone met keeps all it learned. Groups
+go in ``ROUNDS`` rounds or more; each training text is used in one of them. How many
+groups there are, and in which order a group reads its texts, follows from the number of
+training tokens and from the texts, not from the session: scores don't depend on cores
+or partitions. A group has ``GROUP_FLOATS`` training tokens for each weight, so what
+is sent is in proportion to the input, and less.
 
 What is counted covers all training documents. Counts of words travel as (hash, count)
-and grow with the corpus; on the driver and in broadcasts are only the ``HEAD`` commonest
-words, the weights, and sums by class. Rarer words meet their counts in a join of
-(document, word) rows, combined by document before and after.
+and grow with the corpus; rarer words meet their counts in a join of (document, word) rows,
+combined by document before and after. Weights grow with the corpus, a row for each
+``TOKENS_A_ROW`` training tokens, up to 2 ** ``MOST_BITS`` rows, which is what an executor
+holds; beyond that features share rows. On the driver and in broadcasts are only the head
+words, the weights and the tree.
 
 Words are lower-cased A-Z and parted by spaces; each text ends in one end token. Null
-text is empty: the end alone. Repeated rows count as often as they stand. A null doc_id
-is scored like any other row and is part of the held-out share. Extra columns play
-no part. With no training text every word is unknown and scores are those of a uniform
-class; an empty table gives no row.
+text is empty: the end alone. Very long texts are read whole, in blocks of their own.
+Repeated rows count as often as they stand. Words of equal count are ordered by their hash.
+A null doc_id is scored like any other row and is part of the held-out share. Extra columns
+play no part. With no training text every word is unknown and scores are those of a
+uniform choice of form; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,14 +56,19 @@ from annalog.llm.durable import cut
 
 HEAD = 1 << 17
 CLUSTERED = 4096
+WAYS = 16
 CLUSTERS = 16
 FORMS = 8
-CLASSES = CLUSTERS + FORMS
-SLOTS = 1 << 14
+TOKENS_A_ROW = 256
+LEAST_BITS, MOST_BITS = 16, 20
 ROUNDS = 2
+GROUP_FLOATS = 1
+LEAST_GROUP = 1 << 20
+ROUND_GROUPS = 1024
 PARTS = 128
-BATCH = 2048
-RATE = 0.5
+BATCH = 512
+RATE = 0.25
+SETTLE = 1.0
 
 END = np.uint64(0x1F3D5B79A2C4E681)
 _START = np.uint64(0x0123456789ABCDEF)
@@ -119,18 +140,77 @@ def count_words(docs: DataFrame) -> DataFrame:
     return cut(counted.groupBy("h").agg(F.max("form").alias("form"), F.sum("n").alias("n")), "words")
 
 
+@dataclass
+class Tree:
+    """Paths of choices: leaf i has nodes[at[i]:at[i + 1]] and outcomes there; log priors by (node, outcome)."""
+
+    at: np.ndarray
+    nodes: np.ndarray
+    outcomes: np.ndarray
+    prior: np.ndarray
+
+
+def huffman(mass: np.ndarray, ways: int = WAYS) -> list[list[tuple[int, int]]]:
+    """The path, from the top, of (inner node, outcome) of each leaf; node 0 is the top."""
+    n = len(mass)
+    if n == 1:
+        return [[]]
+    up: dict[int, tuple[int, int]] = {}
+    heap = [(float(m), i) for i, m in enumerate(mass)]
+    heapq.heapify(heap)
+    made = n
+    take = (n - 2) % (ways - 1) + 2  # so that all later nodes are full
+    while len(heap) > 1:
+        some = [heapq.heappop(heap) for _ in range(min(take, len(heap)))]
+        for k, (_, i) in enumerate(some):
+            up[i] = made, k
+        heapq.heappush(heap, (sum(m for m, _ in some), made))
+        made, take = made + 1, ways
+    top = made - 1
+    out = []
+    for i in range(n):
+        path = []
+        while i != top:
+            i, k = up[i]
+            path.append((top - i, k))  # the last node made is the top
+        out.append(path[::-1])
+    return out
+
+
+def tree(classes: np.ndarray, mass: np.ndarray, tail: np.ndarray) -> Tree:
+    """Paths of head words (by ``classes``: a cluster, or CLUSTERS + form; ``mass``) and then of the tail's forms."""
+    n = len(classes)
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(n + FORMS)]
+    members = [own for c in range(CLUSTERS + FORMS) if len(own := np.flatnonzero(classes == c))]
+    above = huffman(np.concatenate([[mass[own].sum() for own in members], tail]))
+    made = 1 + max(v for path in above for v, _ in path)
+    for own, to_class in zip(members, above, strict=False):
+        inner = huffman(mass[own])
+        for i, path in zip(own.tolist(), inner, strict=True):
+            paths[i] = to_class + [(made + v, k) for v, k in path]
+        made += 1 + max((v for path in inner for v, _ in path), default=-1)
+    for f in range(FORMS):
+        paths[n + f] = above[len(members) + f]
+    at = np.concatenate([[0], np.cumsum([len(p) for p in paths])])
+    flat = np.array([x for p in paths for x in p], dtype=np.int32).reshape(-1, 2)
+    each = np.repeat(np.concatenate([mass, tail]), np.diff(at))
+    total = np.bincount(flat[:, 0].astype(np.int64) * WAYS + flat[:, 1], weights=each, minlength=made * WAYS).reshape(made, WAYS)
+    with np.errstate(divide="ignore"):
+        prior = np.log(total) - np.log(np.maximum(total.sum(axis=1, keepdims=True), 1e-300))
+    return Tree(at, flat[:, 0].copy(), flat[:, 1].copy(), np.maximum(prior, -50).astype(np.float32))
+
+
 @dataclass
 class Model:
-    """Class of each head word, log10 word factors, and the class factor's weights."""
+    """Head words with their counts, the tree of choices, the tail's mass by form, and the weights."""
 
     head: np.ndarray  # hashes in order
-    head_class: np.ndarray
     head_count: np.ndarray
     total: float  # N
     distinct: float  # V
-    class_total: np.ndarray  # sum of (count + 1) over a class, with one for unknown words
-    weights: np.ndarray  # slot, class
-    prior: np.ndarray  # class
+    tree: Tree
+    tail: np.ndarray  # sum of (count + 1) over a form's rarer words, with one for unknown words
+    weights: np.ndarray  # row, outcome
 
     def __post_init__(self) -> None:
         # where the hashes with each leading 20 bits begin: a look-up touches a few of them
@@ -153,13 +233,19 @@ class Model:
                 break
         return out
 
-    def classes(self, t: Tokens, at: np.ndarray) -> np.ndarray:
-        own = CLUSTERS + t.form.astype(np.int64)
-        return np.where(at >= 0, self.head_class[np.maximum(at, 0)], own) if len(self.head) else own
+
+@dataclass
+class Choices:
+    """The choices on the paths of a block's tokens, in order: token, node, outcome and weight rows."""
+
+    token: np.ndarray
+    node: np.ndarray
+    outcome: np.ndarray
+    rows: np.ndarray  # (feature, choice)
 
 
 def features(t: Tokens) -> np.ndarray:
-    """(feature, token) slots of the previous word, the skipped-to word and the pair."""
+    """(feature, token) hashes of the previous word, the skipped-to word and the pair."""
     previous = np.empty_like(t.h)
     before = np.empty_like(t.h)
     previous[1:], before[2:] = t.h[:-1], t.h[:-2]
@@ -168,29 +254,59 @@ def features(t: Tokens) -> np.ndarray:
     before[heads] = _START
     second = heads + 1
     before[second[second < t.first[1:]]] = _START
-    mask = np.uint64(SLOTS - 1)
-    pair = bs.mix(previous * np.uint64(3) + before)
-    return np.stack([bs.mix(previous) & mask, bs.mix(before + np.uint64(1)) & mask, pair & mask]).astype(np.int32)
+    return np.stack([bs.mix(previous), bs.mix(before + np.uint64(1)), bs.mix(previous * np.uint64(3) + before)])
+
+
+def choices(m: Model, t: Tokens, at: np.ndarray) -> Choices:
+    """``at``: ``m.find`` of the tokens."""
+    leaf = np.where(at >= 0, at, len(m.head) + t.form.astype(np.int64))
+    n = (m.tree.at[1:] - m.tree.at[:-1])[leaf]
+    token = np.repeat(np.arange(len(leaf)), n)
+    place = np.repeat(m.tree.at[leaf], n) + np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+    node = m.tree.nodes[place]
+    salt = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    shift = np.uint64(64 - (len(m.weights).bit_length() - 1))
+    rows = np.stack([(((f[token] ^ salt) * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int32) for f in features(t)])
+    return Choices(token, node, m.tree.outcomes[place], rows)
+
+
+def logits(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Logits of each choice, kept in a range where exp() is safe."""
+    z = weights.take(rows[0], 0)
+    z += weights.take(rows[1], 0)
+    z += weights.take(rows[2], 0)
+    z += prior
+    return np.clip(z, -60, 60, out=z)
 
 
-def logits(weights: np.ndarray, prior: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Class logits of each token, kept in a range where exp() is safe."""
-    z = weights.take(slots[0], 0) + weights.take(slots[1], 0) + weights.take(slots[2], 0) + prior
-    return np.clip(z, -60, 60, out=z)
+_ONES, _ONE = np.ones(WAYS, np.float32), np.float32(1)
 
 
-def steps(weights: np.ndarray, prior: np.ndarray, slots: np.ndarray, classes: np.ndarray, rate: float = RATE) -> None:
-    """Gradient steps over the tokens, in place; a slot met k times in a batch moves sqrt(k) as far."""
-    k = weights.shape[1]
-    flat, lanes, ones = weights.reshape(-1), np.arange(k, dtype=np.int32), np.ones(k, np.float32)
-    for lo in range(0, slots.shape[1], BATCH):
-        s, c = slots[:, lo : lo + BATCH], classes[lo : lo + BATCH]
-        p = np.exp(logits(weights, prior, s))
-        p /= (p @ ones)[:, None]
-        p[np.arange(len(c)), c] -= 1
-        met = np.bincount(s.reshape(-1), minlength=len(weights))
-        for f in s:
-            np.subtract.at(flat, (f[:, None] * np.int32(k) + lanes).reshape(-1), (p * (np.float32(rate) / np.sqrt(met[f]).astype(np.float32))[:, None]).reshape(-1))
+def steps(weights: np.ndarray, met: np.ndarray, prior: np.ndarray, c: Choices, rate: float = RATE) -> None:
+    """Gradient steps over the choices, in place; ``met`` counts how often each row was met.
+
+    A row moves by its gradients' sum, the less the oftener it was met before.
+    """
+    flat, lanes = weights.reshape(-1), np.arange(WAYS)
+    for lo in range(0, c.rows.shape[1], BATCH):
+        r, o = c.rows[:, lo : lo + BATCH], c.outcome[lo : lo + BATCH]
+        p = np.exp(logits(weights, prior.take(c.node[lo : lo + BATCH], 0), r))
+        p /= (p @ _ONES)[:, None]
+        p[np.arange(len(o)), o] -= 1
+        moved = np.empty_like(p)
+        for f in r:
+            np.add.at(met, f, _ONE)
+            np.multiply(p, (rate / np.sqrt(1 + met[f] / SETTLE))[:, None], out=moved)
+            np.subtract.at(flat, ((f.astype(np.int64) * WAYS)[:, None] + lanes).reshape(-1), moved.reshape(-1))
+
+
+def gains(m: Model, c: Choices, n: int) -> np.ndarray:
+    """log10 probability of each of ``n`` tokens by its choices."""
+    out = np.zeros(len(c.token))
+    for lo in range(0, len(out), BATCH):
+        z = logits(m.weights, m.tree.prior.take(c.node[lo : lo + BATCH], 0), c.rows[:, lo : lo + BATCH])
+        out[lo : lo + BATCH] = z[np.arange(len(z)), c.outcome[lo : lo + BATCH]] - np.log(np.exp(z) @ _ONES)
+    return np.bincount(c.token, weights=out, minlength=n) / np.log(10)
 
 
 def _neighbours(docs: DataFrame, common: np.ndarray) -> np.ndarray:
@@ -247,9 +363,8 @@ def cluster(vectors: np.ndarray, mass: np.ndarray, k: int, seed: int = 5) -> np.
     return label
 
 
-def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """A model of the texts of ``docs``; ``counts`` is their ``count_words``."""
-    spark = docs.sparkSession
+def _begin(docs: DataFrame, counts: DataFrame) -> Model:
+    """The model at weight zero: head words, classes and tree."""
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = float(sums[0] or 0), float(sums[1])
     # HEAD words at most: all that are commoner than a bound, which a histogram gives
@@ -268,41 +383,77 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     if common > CLUSTERS:
         own[:common] = cluster(_neighbours(docs, h[:common]), n[:common], CLUSTERS)
     order = np.argsort(h)
-    model = Model(h[order], own[order], n[order], total, distinct, np.concatenate([np.zeros(CLUSTERS), np.ones(FORMS)]), np.zeros((SLOTS, CLASSES), np.float32), np.zeros(CLASSES, np.float32))
-
-    # Sums by class: head words here, the others by their form from the table.
-    by_form = {r["form"]: (r["n"], r["v"]) for r in counts.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    for f, (m, v) in by_form.items():
-        model.class_total[CLUSTERS + f] += m + v
-    np.add.at(model.class_total, model.head_class, model.head_count + 1.0)
-    np.subtract.at(model.class_total, CLUSTERS + form[order].astype(np.int64), model.head_count + 1.0)
-    model.prior = np.log(np.maximum(model.class_total, 1) / model.class_total.sum()).astype(np.float32)
-
-    # executors may still be joining: the number of shuffle partitions says what the cluster is for
-    workers = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    h, n, form, own = h[order], n[order], form[order], own[order]
+    # the tail's mass: all words by their form from the table, less the head
+    tail = np.ones(FORMS)
+    for r in counts.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # FORMS rows
+        tail[r["form"]] += r["n"] + r["v"]
+    np.subtract.at(tail, form, n + 1.0)
+    bits = min(max(int(total / TOKENS_A_ROW).bit_length(), LEAST_BITS), MOST_BITS)
+    return Model(h, n, total, distinct, tree(own, n + 1.0, tail), tail, np.zeros((1 << bits, WAYS), np.float32))
+
+
+def train(docs: DataFrame, counts: DataFrame) -> Model:
+    """A model of the texts of ``docs`` (doc_id, text); ``counts`` is their ``count_words``."""
+    spark = docs.sparkSession
+    model = _begin(docs, counts)
+    groups = max(ROUNDS, round(model.total / max(LEAST_GROUP, GROUP_FLOATS * model.weights.size)))
+    rounds = max(ROUNDS, -(-groups // ROUND_GROUPS))
+    key = F.xxhash64(F.lit(7), F.col("doc_id").cast("string"), "text")
+    dealt = docs.select(F.pmod(key, F.lit(groups)).cast("int").alias("group"), key.alias("key"), "text")
+    if rounds > 2 * ROUNDS:  # written once in the order of groups, so that a round reads its own part
+        dealt = cut(dealt.repartitionByRange("group").sortWithinPartitions("group"), "groups")
+    size = len(model.weights) // PARTS
     for r in range(rounds):
-        held = spark.sparkContext.broadcast(model)  # of fixed size
-        share = docs.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(rounds)) == r) if rounds > 1 else docs
+        held = spark.sparkContext.broadcast(model)  # 2 ** MOST_BITS rows at most
+        low, high = groups * r // rounds, groups * (r + 1) // rounds
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, rate=RATE / (r + 1)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, rate=RATE / np.sqrt(1 + r)) -> Iterator[pa.RecordBatch]:
             m = held.value
-            w, seen = m.weights.copy(), 0
-            for _, _, _, t in _blocks(batches):
-                steps(w, m.prior, features(t), m.classes(t, m.find(t.h)), rate)
-                seen += len(t.h)
-            if seen:
-                for k, part in enumerate(np.split(w, PARTS)):
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([seen]), pa.array([part.tobytes()], type=pa.binary())], names=["k", "seen", "w"])
-
-        def average(rows: pd.DataFrame) -> pd.DataFrame:  # a row a worker, 1/PARTS of the weights each
-            mass = rows["seen"].to_numpy(dtype=np.float64)
-            out = sum(np.frombuffer(x, dtype=np.float32) * (s / mass.sum()) for x, s in zip(rows["w"], mass, strict=True))
-            return pd.DataFrame({"k": [rows["k"].iloc[0]], "w": [np.asarray(out, dtype=np.float32).tobytes()]})
-
-        sent = share.select("text").coalesce(workers).mapInArrow(run, "k long, seen long, w binary")
-        made = sent.groupBy("k").applyInPandas(average, "k long, w binary").orderBy("k").collect()  # SLOTS * CLASSES floats
-        if made:
-            model.weights = np.concatenate([np.frombuffer(bytes(x["w"]), dtype=np.float32) for x in made]).reshape(SLOTS, CLASSES).copy()
+            w, met = np.empty_like(m.weights), np.zeros(len(m.weights), np.float32)
+
+            def sent(group: int) -> Iterator[pa.RecordBatch]:
+                for k, (part, times) in enumerate(zip(np.split(w, PARTS), np.split(met, PARTS), strict=True)):
+                    rows = np.flatnonzero(times).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k], pa.int64()), pa.array([group], pa.int32()), pa.array([rows.tobytes()], pa.binary()), pa.array([times[rows].tobytes()], pa.binary()), pa.array([part[rows].tobytes()], pa.binary())],
+                        names=["k", "group", "rows", "met", "w"],
+                    )
+
+            now = None
+            for batch in batches:  # in the order of groups
+                of = batch.column("group").to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+                for a, b in itertools.pairwise(edges):
+                    if a == b:
+                        continue
+                    if of[a] != now:
+                        if now is not None:
+                            yield from sent(now)
+                        now = int(of[a])
+                        w[:], met[:] = m.weights, 0
+                    for _, _, data, offsets in bs.blocks(batch.column("text").slice(a, b - a)):
+                        t = tokens(data, offsets)
+                        steps(w, met, m.tree.prior, choices(m, t, m.find(t.h)), rate)
+            if now is not None:
+                yield from sent(now)
+
+        def average(rows: pd.DataFrame) -> pd.DataFrame:  # a row a group, 1/PARTS of the weights each
+            total, mass = np.zeros((size, WAYS)), np.zeros(size)
+            for x in rows.sort_values("group").itertuples():
+                at, n = np.frombuffer(x.rows, dtype=np.int32), np.frombuffer(x.met, dtype=np.float32).astype(np.float64)
+                total[at] += np.frombuffer(x.w, dtype=np.float32).reshape(-1, WAYS) * n[:, None]
+                mass[at] += n
+            some = np.flatnonzero(mass).astype(np.int32)
+            out = (total[some] / mass[some, None]).astype(np.float32)
+            return pd.DataFrame({"k": [int(rows["k"].iloc[0])], "rows": [some.tobytes()], "w": [out.tobytes()]})
+
+        share = dealt.where((F.col("group") >= low) & (F.col("group") < high)).repartition(4 * max(1, high - low), "group").sortWithinPartitions("group", "key")
+        sent_rows = share.select("group", "text").mapInArrow(run, "k long, group int, rows binary, met binary, w binary")
+        made = sent_rows.groupBy("k").applyInPandas(average, "k long, rows binary, w binary").collect()  # the weights, once
+        for x in made:
+            part = model.weights[x["k"] * size :]
+            part[np.frombuffer(bytes(x["rows"]), dtype=np.int32)] = np.frombuffer(bytes(x["w"]), dtype=np.float32).reshape(-1, WAYS)
         held.unpersist()
     return model
 
@@ -316,19 +467,13 @@ def _local(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        log_class = np.log10(np.maximum(m.class_total, 1))
+        log_tail = np.log10(m.tail)
         log_count = np.log10(m.head_count + 1.0)
         for batch, lo, hi, t in _blocks(batches):
             at = m.find(t.h)
             known = at >= 0
-            own = m.classes(t, at)
-            slots = features(t)
-            gain = np.empty(len(t.h))
-            for a in range(0, len(t.h), 8192):
-                z = logits(m.weights, m.prior, slots[:, a : a + 8192])
-                gain[a : a + 8192] = (z[np.arange(len(z)), own[a : a + 8192]] - np.log(np.exp(z) @ np.ones(CLASSES, np.float32))) / np.log(10)
             counted = np.where(known, log_count[np.maximum(at, 0)], 0.0) if len(m.head) else np.zeros(len(t.h))
-            score = gain + counted - log_class[own]
+            score = gains(m, choices(m, t, at), len(t.h)) - np.where(known, 0.0, log_tail[t.form])
             rare = np.flatnonzero(~known)
             owner = bs.owners(t.first)
             yield pa.RecordBatch.from_arrays(
@@ -350,7 +495,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
 
     Learns from rows where ``held_out`` is false.
     """
-    learn = docs.where(~F.coalesce(held_out, F.lit(True))).select("text")
+    learn = docs.where(~F.coalesce(held_out, F.lit(True))).select("doc_id", "text")
     counts = count_words(learn)
     model = train(learn, counts)
     local = cut(_local(docs, model), "scores")

@@ -63,34 +63,100 @@ def test_the_model_beats_the_base_where_context_tells(spark):
     assert sum(r["score"] > r["base_score"] for r in out) > 0.9 * len(out)
 
 
-def test_probabilities_of_all_words_sum_to_one(spark):
+def every_word(model, h, form):
+    """log10 P(word | a few contexts) of all words by the model, before the share of a rare word in its form."""
+    out = []
+    for before in (b"w1 w2. ", b"W7 ", b""):
+        data = np.frombuffer(before + b"x", np.uint8)
+        t = m.tokens(data, np.array([0, len(data)]))
+        f = m.features(t)[:, -2]
+        own = m.Tokens(h, form, np.array([0, len(h)]))
+        real = m.features
+        try:
+            m.features = lambda _, f=f: np.repeat(f[:, None], len(h), axis=1)  # every word after this context
+            out.append(m.gains(model, m.choices(model, own, model.find(h)), len(h)))
+        finally:
+            m.features = real
+    return out
+
+
+@pytest.mark.parametrize("head", [1 << 17, 500])
+def test_probabilities_of_all_words_sum_to_one(spark, monkeypatch, head):
+    monkeypatch.setattr(m, "HEAD", head)
     rng = random.Random(3)
     docs = spark.createDataFrame([(i, prose(rng, 80, 3000)) for i in range(60)], "doc_id long, text string")
     counts = m.count_words(docs)
-    model = m.train(docs, counts, rounds=1)
+    model = m.train(docs, counts)
     rows = counts.toArrow()
     h, n, form = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy(), rows["form"].to_numpy()
     at = model.find(h)
-    own = np.where(at >= 0, model.head_class[np.maximum(at, 0)], m.CLUSTERS + form)
-    inside = np.bincount(own, weights=(n + 1) / model.class_total[own], minlength=m.CLASSES)
-    inside[m.CLUSTERS :] += 1 / model.class_total[m.CLUSTERS :]  # a word never seen, of each form
-    assert np.allclose(inside[model.class_total > 0], 1)
-    data = np.frombuffer(b"w1 w2. w3 unheard", np.uint8)
-    t = m.tokens(data, np.array([0, len(data)]))
-    z = m.logits(model.weights, model.prior, m.features(t))
-    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and np.abs(model.weights).max() > 0
+    assert (at >= 0).sum() <= head
+    # and a word never seen, of each form
+    h, form = np.concatenate([h, np.arange(1, m.FORMS + 1).astype(np.uint64)]), np.concatenate([form, np.arange(m.FORMS)]).astype(np.int8)
+    share = np.where(model.find(h) >= 0, 1.0, np.concatenate([n + 1.0, np.ones(m.FORMS)]) / model.tail[form])
+    sums = [(10**g * share).sum() for g in every_word(model, h, form)]
+    assert sums == pytest.approx([1.0] * 3, abs=1e-3) and np.abs(model.weights).max() > 0
+
+
+def test_a_word_gains_over_others_of_its_class_by_its_context(spark):
+    """Two words of one form and count, told apart by the word before them alone."""
+    rng = random.Random(6)
+    left, right = "after alpha comes", "after omega comes"
+    rows = []
+    for i in range(300):
+        filler = " ".join(f"n{rng.randrange(50)}" for _ in range(20))
+        one, other = rng.choice([(left, "cold"), (right, "warm")])
+        rows.append((i, f"{filler} {one} {other} {filler}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = m.train(docs, m.count_words(docs))
+
+    def probability(context, word):
+        data = np.frombuffer(f"n1 n2 {context} {word}".encode(), np.uint8)
+        t = m.tokens(data, np.array([0, len(data)]))
+        return 10 ** m.gains(model, m.choices(model, t, model.find(t.h)), len(t.h))[-2]
+
+    # skip feature: "alpha" stands before the word before
+    assert probability(left, "cold") > 5 * probability(right, "cold") and probability(right, "warm") > 5 * probability(left, "warm")
+
+
+def test_a_huffman_tree_is_shallow_for_common_leaves():
+    mass = np.array([1000.0, 500, 1, 1, 1, 1, 1, 1, 1])
+    paths = m.huffman(mass, 3)
+    assert len(set(map(tuple, paths))) == len(mass) and len(paths[0]) == 1 and len(paths[2]) > 1
+    assert all(p[0][0] == 0 for p in paths) and m.huffman(np.array([3.0])) == [[]]
 
 
 def test_steps_lower_the_loss():
     rng = np.random.Generator(np.random.PCG64(1))
-    classes = rng.integers(0, 3, 4000)
-    slots = np.stack([classes * 5, rng.integers(0, 99, 4000), rng.integers(0, 99, 4000)])
-    w, prior = np.zeros((128, 3), np.float32), np.zeros(3, np.float32)
+    outcome = rng.integers(0, 3, 4000)
+    rows = np.stack([outcome * 5, rng.integers(20, 120, 4000), rng.integers(20, 120, 4000)]).astype(np.int32)  # one that tells, two that don't
+    w, met, prior = np.zeros((128, m.WAYS), np.float32), np.zeros(128, np.float32), np.zeros((1, m.WAYS), np.float32)
+    c = m.Choices(np.arange(4000), np.zeros(4000, np.int32), outcome, rows)
     for _ in range(3):
-        m.steps(w, prior, slots, classes)
-    z = m.logits(w, prior, slots)
-    assert (z.argmax(axis=1) == classes).mean() > 0.99
+        m.steps(w, met, prior, c)
+    assert (m.logits(w, prior, rows).argmax(axis=1) == outcome).mean() > 0.99 and met.sum() == 3 * 3 * 4000
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 120, 300)) for i in range(80)]
+    got = []
+    for n, shuffles in ((1, "3"), (7, "5")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(n, "text")
+        got.append({r["doc_id"]: r["score"] for r in m.score(frame, fold()).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k], rel=1e-6) for k in got[0])
+
+
+def test_many_rounds_train_on_each_text_once(spark, monkeypatch):
+    monkeypatch.setattr(m, "LEAST_GROUP", 1)
+    monkeypatch.setattr(m, "GROUP_FLOATS", 0)
+    monkeypatch.setattr(m, "ROUND_GROUPS", 50)
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, prose(rng, 20, 50)) for i in range(40)], "doc_id long, text string")
+    model = m.train(docs, m.count_words(docs))  # some 840 groups in 17 rounds, from a table of its own
+    assert np.isfinite(model.weights).all() and np.abs(model.weights).max() > 0
 
 
 def test_tokens_end_each_text():
