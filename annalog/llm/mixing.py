@@ -13,11 +13,16 @@ hypergeometric share. Every shard so has its exact quota of blocks from each sou
 and inside a shard rows are put in hash order: a local shuffle.
 
 The driver holds one row for each source and the tree: ``MAX_SOURCES`` rows at most, or
-``plan`` refuses. Blocks are sums of at most ``BLOCKS`` rows a source.
+``plan`` refuses. Blocks are sums of at most ``BLOCKS`` rows a source. The block in which a
+quota runs out is cut into blocks again until it has ``REGION_MOST`` documents or fewer,
+or is one place, so what is chosen one by one is bounded whatever the size of a source.
 
 Null text has size 0, and null ``source`` is a source of its own, last in order. Null
-ids share one place; repeated rows are taken or left together. Documents of size 0
-are never taken. An empty table gives an empty mix. Extra columns pass through ``mix``.
+ids share one place; repeated rows, and others in one place, are taken or left together.
+Documents of size 0 are never taken. Texts of any length count whole. Of equal sizes
+that fill a rest, the first in permuted order is taken. An empty table gives an empty
+mix. Extra columns pass through ``mix``; of a caller's own ``mix_shard`` and ``mix_copy``
+those of the mix take the place.
 """
 
 from __future__ import annotations
@@ -32,14 +37,18 @@ from pyspark.sql import functions as F
 
 from annalog.llm.durable import cut
 
-BLOCKS = 256
+BITS = 8
+BLOCKS = 1 << BITS
 SPACE_BITS = 62
 MAX_SOURCES = 10_000
+SHARDS = 16
 EXTRAS = 48
 PIECE_WORDS = 250_000
 #: The region in which a draw ends: blocks about its end with so many documents, if there are.
 REGION = (32, 256)
 TRIES = 16
+#: Documents in the block about a draw's end beyond which it is cut into blocks again.
+REGION_MOST = 4096
 
 
 def size_of(text: str = "text") -> Column:
@@ -53,7 +62,7 @@ def place_of(seed: int = 0, doc_id: str = "doc_id") -> Column:
 
 
 def block_of(place: Column) -> Column:
-    return F.shiftright(place, SPACE_BITS - (BLOCKS.bit_length() - 1))
+    return F.shiftright(place, SPACE_BITS - BITS)
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = 2.0) -> list[float]:
@@ -112,7 +121,7 @@ def _fill(quota: int, rows: pd.DataFrame) -> tuple[int, list[int]]:
     Of the prefixes that end near the quota, the one that single documents of the rest
     fill up most closely.
     """
-    rows = rows.groupby("place", as_index=False)["size"].sum().sort_values("place")
+    rows = rows.sort_values("place")
     place, size = rows["place"].to_numpy(), rows["size"].to_numpy()
     total = np.concatenate([[0], np.cumsum(size)])
     longest = int(np.searchsorted(total, quota, "right")) - 1
@@ -156,40 +165,45 @@ def plan(sized: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3,
     passes = [int(a // s) if s else 0 for a, s in zip(aims, sizes, strict=True)]
     quota = {n: round(a - p * s) for n, a, p, s in zip(names, aims, passes, sizes, strict=True)}
 
-    blocks = sized.groupBy("source", block_of(F.col("place")).alias("block")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     spark = sized.sparkSession
-    wanted = spark.createDataFrame([(n, int(q)) for n, q in quota.items()] or [("", 0)], "q_source string, quota long")
+    kind = "q_source string, quota long, low long, shift int"
+    state = [(n, int(q), 0, SPACE_BITS - BITS) for n, q in quota.items()]
+    filled: dict = {}
 
     def edge(rows: pd.DataFrame) -> pd.DataFrame:  # at most BLOCKS rows
         rows = rows.sort_values("block")
-        total, q, docs = rows["size"].cumsum().to_numpy(), int(rows["quota"].iloc[0]), rows["n"].to_numpy()
+        total, q, docs, shift = rows["size"].cumsum().to_numpy(), int(rows["quota"].iloc[0]), rows["n"].to_numpy(), int(rows["shift"].iloc[0])
         end = min(int((total <= q).sum()), len(rows) - 1)
-        lo, hi = end, end
-        while lo > 0 and docs[lo:end].sum() < REGION[0]:
-            lo -= 1
-        while hi < len(rows) - 1 and docs[end : hi + 1].sum() < REGION[1]:
-            hi += 1
-        done = int(total[lo - 1]) if lo else 0
-        return pd.DataFrame({"source": [rows["source"].iloc[0]], "block": [int(rows["block"].iloc[lo])], "last": [int(rows["block"].iloc[hi])], "quota": [q - done]})
-
-    at = blocks.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("q_source"))).groupBy("source").applyInPandas(edge, "source string, block long, last long, quota long")
-    at = cut(at, "mix-edges")  # a row for each source
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:  # a few blocks
+        block, low = rows["block"].to_numpy(), int(rows["low"].iloc[0])
+        lo = hi = end
+        again = bool(docs[end] > REGION_MOST and shift > 0)
+        if not again:
+            while lo > 0 and docs[lo:end].sum() < REGION[0]:
+                lo -= 1
+            while hi < len(rows) - 1 and docs[end : hi + 1].sum() < REGION[1]:
+                hi += 1
+        left = q - (int(total[lo - 1]) if lo else 0)
+        return pd.DataFrame({"source": [rows["source"].iloc[0]], "quota": [left], "low": [low + (int(block[lo]) << shift)], "high": [low + (int(block[hi]) + 1 << shift)], "shift": [shift], "again": [again]})
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:  # a few blocks, a row for each place
         bound, extra = _fill(int(rows["quota"].iloc[0]), rows)
         return pd.DataFrame({"source": [rows["source"].iloc[0]], "bound": [bound], "extra": [extra]})
 
-    edges = {r["source"]: r["block"] for r in at.collect()}
-    named = at.select(F.col("source").alias("a_source"), F.col("block").alias("a_block"), "last", "quota")
-    inside = sized.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("a_source")) & block_of(F.col("place")).between(F.col("a_block"), F.col("last")))
-    filled = {r["source"]: r for r in inside.select("source", "quota", "place", "size").groupBy("source").applyInPandas(fill, "source string, bound long, extra array<long>").collect()}
-    out = []
-    for n, s, a, p in zip(names, sizes, aims, passes, strict=True):
-        width = 1 << SPACE_BITS - (BLOCKS.bit_length() - 1)
-        low = edges.get(n, 0) * width
-        f = filled.get(n)
-        out.append(SourcePlan(n, s, a, p, max(low, f["bound"] if f else 0), tuple(f["extra"]) if f else ()))
-    return out
+    while state:  # a round for each cut: some log of a source's size
+        wanted = spark.createDataFrame(state, kind)
+        met = sized.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("q_source")))
+        block = F.expr("shiftright(place - low, shift)")
+        blocks = met.where((F.col("place") >= F.col("low")) & (block < BLOCKS)).groupBy("source", "quota", "low", "shift", block.alias("block"))
+        at = blocks.agg(F.sum("size").alias("size"), F.count("*").alias("n")).groupBy("source").applyInPandas(edge, "source string, quota long, low long, high long, shift int, again boolean")
+        at = cut(at, "mix-edges")  # a row for each source
+        rows = at.collect()
+        done = at.where("not again").select(F.col("source").alias("a_source"), "quota", "low", "high")
+        inside = sized.join(F.broadcast(done), F.col("source").eqNullSafe(F.col("a_source")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
+        places = inside.groupBy("source", "quota", "place").agg(F.sum("size").alias("size"))
+        found = {r["source"]: r for r in places.groupBy("source").applyInPandas(fill, "source string, bound long, extra array<long>").collect()}
+        filled |= {r["source"]: (max(r["low"], found[r["source"]]["bound"]), tuple(found[r["source"]]["extra"])) for r in rows if r["source"] in found}
+        state = [(r["source"], r["quota"], r["low"], max(0, r["shift"] - BITS)) for r in rows if r["again"]]
+    return [SourcePlan(n, s, a, p, *filled.get(n, (0, ()))) for n, s, a, p in zip(names, sizes, aims, passes, strict=True)]
 
 
 def _plan_frame(docs: DataFrame, plans: list[SourcePlan]) -> DataFrame:
@@ -212,7 +226,7 @@ def copies(rows: DataFrame, plans: list[SourcePlan]) -> DataFrame:
 
 def shard_table(plans: list[SourcePlan], shards: int, seed: int = 0) -> np.ndarray:
     """(source, pass, block) to shard, for every block that a pass draws from."""
-    width_bits = SPACE_BITS - (BLOCKS.bit_length() - 1)
+    width_bits = SPACE_BITS - BITS
     out = np.zeros((len(plans), 3, BLOCKS), dtype=np.int32)
     last = [max([p.bound - 1, *p.extra]) for p in plans]
     drawn = [[BLOCKS] * p.passes + [(x >> width_bits) + 1 if x >= 0 else 0] for p, x in zip(plans, last, strict=True)]
@@ -228,32 +242,40 @@ def shard_table(plans: list[SourcePlan], shards: int, seed: int = 0) -> np.ndarr
     return out
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 0, **options) -> DataFrame:
+def dealt(rows: DataFrame, plans: list[SourcePlan], shards: int, seed: int = 0) -> DataFrame:
+    """``copies`` of ``rows`` with ``shards``: the shard of each copy, by the splitting tree."""
+    where = shard_table(plans, shards, seed)
+    flat = rows.sparkSession.createDataFrame([(p.source, [int(x) for x in where[i].reshape(-1)]) for i, p in enumerate(plans)], "s_source string, table array<int>")
+    joined = copies(rows, plans).join(F.broadcast(flat), F.col("source").cast("string").eqNullSafe(F.col("s_source")), "left")  # 3 * BLOCKS numbers a source
+    block = block_of(F.col("place")).cast("int")
+    each = F.transform(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.get("table", k * BLOCKS + block))
+    return joined.withColumn("shards", each).drop("s_source", "table")
+
+
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, **options) -> DataFrame:
     """The mixed corpus: rows of ``docs`` with ``mix_shard`` and ``mix_copy``, a row for each copy taken.
 
     Partitions are shards or parts of them; inside one, rows are in permuted order.
     """
     plans = plan(cut(sized(docs, seed), "mix-sizes"), **options)
-    where = shard_table(plans, shards, seed)
-    flat = docs.sparkSession.createDataFrame(
-        [(p.source, [int(x) for x in where[i].reshape(-1)]) for i, p in enumerate(plans)], "s_source string, mix_shards array<int>"
-    )
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = inner.select("row", F.col("row.source").alias("source"), F.col("row.text").alias("text"), F.col("row.doc_id").alias("doc_id"))
     rows = rows.select("row", "source", size_of().alias("size"), place_of(seed).alias("place"))
-    taken = copies(rows, plans).where("copies > 0").join(F.broadcast(flat), F.col("source").cast("string").eqNullSafe(F.col("s_source")), "left")
-    each = taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    each = each.withColumn("mix_shard", F.get("mix_shards", (F.col("mix_copy") * BLOCKS + block_of(F.col("place"))).cast("int")))
+    each = dealt(rows, plans, shards, seed).select("row", "place", F.posexplode("shards").alias("mix_copy", "mix_shard"))
     order = F.xxhash64(F.lit(seed + 1), "place", "mix_copy")
-    dealt = each.withColumn("mix_order", order).select("row", "mix_shard", "mix_copy", "mix_order")
+    sent = each.select("row", "mix_shard", "mix_copy", order.alias("mix_order"))
     # a shard is dealt in pieces of PIECE_WORDS or so: neither it nor its source is one task
     pieces = max(1, round(sum(p.target for p in plans) / shards / PIECE_WORDS))
-    out = dealt.repartition("mix_shard", F.pmod("mix_order", F.lit(pieces))).sortWithinPartitions("mix_shard", "mix_order")
+    out = sent.repartition("mix_shard", F.pmod("mix_order", F.lit(pieces))).sortWithinPartitions("mix_shard", "mix_order")
     names = [c for c in docs.columns if c not in ("mix_shard", "mix_copy")]
     return out.select(*[F.col(f"row.`{c}`") for c in names], "mix_shard", "mix_copy")
 
 
-def taken(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
-    """Each document's part in the mix: doc_id, size, source_size, target, taken, copies."""
+def taken(docs: DataFrame, shards: int = SHARDS, seed: int = 0, **options) -> DataFrame:
+    """Each document's part in the mix: doc_id, size, source_size, target, taken, shards (one for each copy), source and block.
+
+    What is taken is what the tree dealt to shards.
+    """
     rows = cut(sized(docs, seed), "mix-sizes")
-    return copies(rows, plan(rows, **options)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+    each = dealt(rows, plan(rows, **options), shards, seed)
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", "source", block_of(F.col("place")).cast("int").alias("block"))

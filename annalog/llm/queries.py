@@ -103,7 +103,8 @@ from p left join f using (digest)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents"))
+    found = mixing.taken(table(spark, sf_dir, "documents"))
+    return found.withColumn("shards", F.array_join("shards", ","))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,8 @@ def test_taken_comes_near_the_targets(spark):
     for n, t in zip(names, want, strict=True):
         assert by[n][2] == pytest.approx(t) and by[n][3] == by[n][0] and abs(by[n][1] - t) < 10
     again = m.taken(docs.repartition(7)).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    key = lambda rows: sorted((r["doc_id"], r["taken"], r["shards"]) for r in rows)
+    assert key(got) == key(again)
 
 
 def test_odd_rows(docs, corpus, empty):
@@ -57,8 +58,9 @@ def test_the_mix_holds_what_was_taken(docs):
     mixed = m.mix(docs, shards=4)
     assert mixed.columns == [*docs.columns, "mix_shard", "mix_copy"]
     rows = mixed.collect()
-    copies = sum(r["copies"] for r in m.taken(docs).collect())
-    assert len(rows) == copies and {r["mix_shard"] for r in rows} <= set(range(4)) and len({r["mix_shard"] for r in rows}) == 4
+    want = sorted((repr(r["doc_id"]), k, x) for r in m.taken(docs, shards=4).collect() for k, x in enumerate(r["shards"]))
+    assert sorted((repr(r["doc_id"]), r["mix_copy"], r["mix_shard"]) for r in rows) == want
+    assert len(rows) == len(want) and {r["mix_shard"] for r in rows} <= set(range(4)) and len({r["mix_shard"] for r in rows}) == 4
     assert {r["votes"] for r in rows} == {"votes!"}
 
 
@@ -77,3 +79,52 @@ def test_a_bound_on_sources(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, source string")
     with pytest.raises(ValueError):
         m.taken(docs)
+
+
+def spread(spark, n=3000):
+    rows = [(i, "w " * (1 + i * 7919 % 40), f"s{i % 3}") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+
+
+def test_each_shards_quota_of_blocks_can_be_read_from_the_result(spark):
+    docs = spread(spark)
+    got = m.taken(docs, shards=8).collect()
+    of_block = {}
+    for r in got:
+        for k, shard in enumerate(r["shards"]):
+            assert of_block.setdefault((r["source"], k, r["block"]), shard) == shard  # a block is dealt whole
+    plans = m.plan(m.sized(docs))
+    width = 1 << m.SPACE_BITS - m.BITS
+    drawn = [[(k, b) for k in range(p.passes) for b in range(m.BLOCKS)] + [(p.passes, b) for b in range(max([p.bound - 1, *p.extra], default=-1) // width + 1)] for p in plans]
+    dealt = m.split_tree([len(d) for d in drawn], 8)
+    for i, p in enumerate(plans):
+        full = [of_block.get((p.source, k, b)) for k, b in drawn[i]]
+        missing = full.count(None)  # blocks that hold no document
+        counts = np.bincount([x for x in full if x is not None], minlength=8)
+        assert (counts <= dealt[:, i]).all() and (dealt[:, i] - counts).sum() == missing < 60
+
+
+def test_a_large_block_is_cut_again_and_targets_stay_met(spark, monkeypatch):
+    docs = spread(spark, 6000)
+    want = {r["source"]: r["target"] for r in m.taken(docs).collect()}
+    monkeypatch.setattr(m, "REGION_MOST", 2)
+    monkeypatch.setattr(m, "REGION", (1, 2))
+    got = m.taken(docs).collect()
+    for source, target in want.items():
+        assert abs(sum(r["taken"] for r in got if r["source"] == source) - target) < 45
+
+
+def test_many_rows_in_one_place(spark, monkeypatch):
+    """Rows without an id share a place: they are taken together, in one region however small its bound."""
+    monkeypatch.setattr(m, "REGION_MOST", 10)
+    docs = spark.range(300).selectExpr("if(id % 3 = 0, null, id) as doc_id", "'a b c' as text", "'x' as source")
+    got = m.taken(docs).collect()
+    assert len(got) == 300 and len({r["taken"] for r in got if r["doc_id"] is None}) == 1
+    assert abs(sum(r["taken"] for r in got) - 1350) <= 300
+
+
+def test_a_callers_columns_of_the_mixs_names_are_replaced(spark):
+    docs = spread(spark, 60).selectExpr("*", "'mine' as mix_shard", "'row' as row", "7 as shards")
+    mixed = m.mix(docs, shards=2)
+    assert mixed.columns == ["doc_id", "text", "source", "row", "shards", "mix_shard", "mix_copy"]
+    assert {(r["row"], r["shards"]) for r in mixed.collect()} == {("row", 7)}
