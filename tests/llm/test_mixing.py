@@ -101,7 +101,7 @@ def test_each_shards_quota_of_blocks_can_be_read_from_the_result(spark):
         full = [of_block.get((p.source, k, b)) for k, b in drawn[i]]
         missing = full.count(None)  # blocks that hold no document
         counts = np.bincount([x for x in full if x is not None], minlength=8)
-        assert (counts <= dealt[:, i]).all() and (dealt[:, i] - counts).sum() == missing < 60
+        assert (counts <= dealt[:, i]).all() and (dealt[:, i] - counts).sum() == missing < 0.4 * len(drawn[i])
 
 
 def test_a_large_block_is_cut_again_and_targets_stay_met(spark, monkeypatch):
