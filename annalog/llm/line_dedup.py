@@ -15,14 +15,16 @@ either side, by which a match is extended both ways when the text meets it. A ru
 fingerprint begins at most SPAN words into it, and REACH is no less, so a run alike with
 that first position is found to its exact ends; at an edge whose fingerprint stands
 first in some other passage, up to SPAN words may stay. Words on either side are told
-apart by 10 bits. Extents that touch are one run; runs of ``MIN_WORDS`` words or more
+apart by 21 bits. Extents that touch are one run; runs of ``MIN_WORDS`` words or more
 are deleted from the later document. The first occurrence stays. Only hashes are
 grouped; a text moves once, to meet its deletions.
 
 Null text stays null. Texts without a repeated run stay as they are, byte for byte.
 Repeated rows (same doc_id and text) count as one document and all stay. A null
-doc_id comes first in the order. Very long texts are processed whole. Extra columns
-pass through. An empty table gives no row.
+doc_id comes first in the order; texts of one doc_id are ordered by a hash. Very long texts
+are processed whole. Extra columns pass through; ``dedup`` puts its own removed_words and
+removed_runs in the place of a caller's, ``drop_repeats`` leaves a caller's alone. An empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,9 +45,10 @@ GRAM_WORDS = 16
 SPAN = 12
 REACH = 12
 MIN_WORDS = 24
-_BITS = 10
-_SIDE = 6  # words of a context in one long
-_CONTEXT = ("before0", "before1", "after0", "after1")
+_BITS = 21
+_SIDE = 3  # words of a context in one long
+_LONGS = REACH // _SIDE
+_CONTEXT = (*(f"before{k}" for k in range(_LONGS)), *(f"after{k}" for k in range(_LONGS)))
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,8 +162,8 @@ def repeated(h: np.ndarray, first: np.ndarray, found: pa.ListArray) -> tuple[np.
     theirs = [rows.field(c).to_numpy().view(np.uint64)[whole] for c in _CONTEXT]
     short, lo, hi, stop = _short(h), first[doc], first[doc + 1], begin + GRAM_WORDS
     gone = np.zeros(len(h) + 1, dtype=np.int64)
-    np.add.at(gone, begin - _agree(_context(short, begin - 1, -1, lo, hi), theirs[:2]), 1)
-    np.add.at(gone, stop + _agree(_context(short, stop, 1, lo, hi), theirs[2:]), -1)
+    np.add.at(gone, begin - _agree(_context(short, begin - 1, -1, lo, hi), theirs[:_LONGS]), 1)
+    np.add.at(gone, stop + _agree(_context(short, stop, 1, lo, hi), theirs[_LONGS:]), -1)
     a, b = bs.spans(np.cumsum(gone[:-1]) > 0, first)
     long = b - a >= MIN_WORDS
     return a[long], b[long]
@@ -194,14 +197,33 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(named[n] for n in names), pa.array(removed), pa.array(runs)], names=[*names, "removed_words", "removed_runs"])
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated runs deleted from ``text``, and removed_words and removed_runs."""
-    found = matches(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("line", *_CONTEXT)).alias("found"))
+def _cleaned(docs: DataFrame) -> DataFrame:
+    """(doc_id, text without repeated runs, rest: the other columns, removed_words, removed_runs) of each row."""
+    found = matches(docs).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("line", *_CONTEXT)).alias("found"))  # a set: repeated rows have the same
     found = found.select(F.col("doc_id").alias("f_doc"), F.col("mark").alias("f_mark"), "found")
-    names = [c for c in docs.columns if c not in ("removed_words", "removed_runs")]
-    inner = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]).alias("rest")) if len(names) > 2 else docs.select("doc_id", "text")
-    rows = _marked(inner)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rows = _marked(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("rest")))
     met = rows.join(found, F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("mark") == F.col("f_mark")), "left").drop("mark", "f_doc", "f_mark")
     schema = StructType([f for f in met.schema.fields if f.name != "found"]).add("removed_words", "long").add("removed_runs", "long")
-    out = met.mapInArrow(_apply, schema)
-    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in names], "removed_words", "removed_runs")
+    return met.mapInArrow(_apply, schema)
+
+
+def _given(columns: list[str]) -> list[Column]:
+    return [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in columns]
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated runs deleted from ``text``, and removed_words and removed_runs."""
+    return _cleaned(docs).select(*_given([c for c in docs.columns if c not in ("removed_words", "removed_runs")]), "removed_words", "removed_runs")
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated runs deleted, ``n_chars`` (if there) as of the new text, without documents left without words."""
+    out = _cleaned(docs)
+    changed = F.col("removed_runs") > 0
+    kept = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = _given(docs.columns)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        columns[docs.columns.index("n_chars")] = F.when(changed, F.length("text").cast(kind)).otherwise(F.col("rest.n_chars")).alias("n_chars")
+    return kept.select(*columns)
