@@ -90,15 +90,20 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id)")  # whatever the session's zone
     when = F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", when.alias("captured"))
-    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured", "url_key", "rank")
 
 
-OP7_SQL = """
-with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as digest from pages),
-f as (select digest, min(page_id) as first_id from p where n >= 100 group by digest)
+OP7_SQL = r"""
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as digest, lower(trim(coalesce(url, ''))) as u,
+    strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured from pages),
+f as (select digest, min(page_id) as first_id from p where n >= 100 group by digest),
+h as (select *, regexp_extract(u, '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1) as host, regexp_extract(u, '^[a-z][a-z0-9+.-]*://[^/?#:]*:([0-9]+)', 1) as port,
+    rtrim(regexp_extract(u, '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') as path, regexp_extract(u, '^[^?#]*[?]([^#]*)', 1) as query from p),
+k as (select *, array_to_string(list_reverse(string_split(regexp_replace(host, '^www[.]', ''), '.')), ',') || case when port in ('', '80', '443') then '' else ':' || port end || ')'
+    || case when path = '' then '/' else path end || case when query = '' then '' else '?' || array_to_string(list_sort(string_split(query, '&')), '&') end as url_key from h)
 select page_id, n as payload_bytes, digest as payload_digest, case when page_id > first_id then 'revisit' else 'response' end as record_type,
-    case when page_id > first_id then first_id end as refers_to, strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured
-from p left join f using (digest)
+    case when page_id > first_id then first_id end as refers_to, captured, url_key, row_number() over (order by url_key, captured, page_id) as rank
+from k left join f using (digest)
 """
 
 

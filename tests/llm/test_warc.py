@@ -25,10 +25,22 @@ def test_url_keys():
 
 def test_parse_checks_what_it_reads():
     good = b"WARC/1.1\r\nContent-Length: 7\r\n\r\na\r\n\r\nbc\r\n\r\n"
-    assert [p for _, _, p in w.parse(good)] == [b"a\r\n\r\nbc"]
-    for bad in (b"JUNK\r\n\r\n", good.replace(b"7", b"5")):
+    assert w.parse(good)[1] == b"a\r\n\r\nbc"
+    for bad in (b"JUNK\r\n\r\n", good.replace(b"7", b"5"), b""):
         with pytest.raises(ValueError):
-            list(w.parse(bad))
+            w.parse(bad)
+
+
+@given(st.lists(st.binary(min_size=1, max_size=300)))
+def test_members_come_back_with_their_places(records):
+    held = [gzip.compress(r) for r in records]
+    parted = w.SEPARATOR.encode("latin-1").join(held)
+    got = list(w.members(parted))
+    assert [r for _, r in got] == records and gzip.decompress(parted) == b"".join(records)
+    assert all(parted[at:].startswith(m) for (at, _), m in zip(got, held, strict=True))
+    if held:
+        with pytest.raises(ValueError):
+            list(w.members(held[0][:-1]))
 
 
 BIG = "é" * 60  # 120 bytes
@@ -47,14 +59,15 @@ def rows():
 
 
 def test_archives_come_back_whole_and_in_order(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(w, "RECORDS_PER_ARCHIVE", 20)  # many runs to merge
+    monkeypatch.setattr(w, "ARCHIVE_BYTES", 2000)  # many runs to merge, in many ranges
+    monkeypatch.setattr(w, "RANGE_ROWS", 9)
     pages = spark.createDataFrame(rows(), "page_id long, url string, html string, captured string, digest string").repartition(4)
     path = f"file://{tmp_path}/archive"
     got = w.archive(pages, path).collect()
-    want = {r[0]: r for r in rows() if r[0] is not None}
+    want = {r[0]: r for r in rows()}
     assert len(got) == len(want)
     first = {}
-    for i, r in sorted(want.items()):
+    for i, r in sorted(want.items(), key=lambda x: (x[0] is None, x[0] or 0)):
         first.setdefault((r[2] or "").encode(), i)
     for r in got:
         _, url, html, captured, _ = want[r["page_id"]]
@@ -62,13 +75,24 @@ def test_archives_come_back_whole_and_in_order(spark, tmp_path, monkeypatch):
         revisit = len(raw) >= 100 and first[raw] != r["page_id"]
         assert (r["url"], r["captured"], r["payload_bytes"], r["payload_digest"]) == (url or "", captured, len(raw), hashlib.sha256(raw).hexdigest())
         assert (r["record_type"], r["refers_to"]) == (("revisit", first[raw]) if revisit else ("response", None))
-    keys = [(r["url_key"], r["captured"], r["page_id"]) for r in got]
-    assert keys == sorted(keys)
-    # a place is where the record begins
-    files = {p.name: gzip.decompress(p.read_bytes()) for p in (tmp_path / "archive").glob("*.gz")}
-    assert len(files) > 1
+    by_rank = sorted(got, key=lambda r: r["rank"])
+    keys = [(r["url_key"], r["captured"], r["page_id"] or -1) for r in by_rank]
+    assert keys == sorted(keys) and [r["rank"] for r in by_rank] == list(range(1, len(got) + 1))
+    # a place is where the record's own gzip member begins
+    files = {f"{p.parent.name}/{p.name}": p.read_bytes() for p in (tmp_path / "archive").rglob("*.txt")}
+    assert len(files) > 4 and all(len(f) < 2000 + 40 * len(rows()) or len(list(w.members(f))) == 1 for f in files.values())
     for r in got:
-        assert f"<urn:page:{r['page_id']}>".encode() in files[r["archive"]][r["place"] :][:200]
+        record = next(w.members(files[r["archive"]][r["place"] :]))[1]
+        head, block = w.parse(record)
+        assert head["WARC-Record-ID"] == f"<urn:page:{'none' if r['page_id'] is None else r['page_id']}>"
+        if r["record_type"] == "response":
+            assert block.startswith(b"HTTP/1.1 200 OK\r\n") and w.payload(block) == (want[r["page_id"]][2] or "").encode()
+
+
+def test_ids_that_are_null(spark):
+    pages = spark.createDataFrame([(None, "u", BIG, "t"), (None, "v", BIG, "t"), (7, "u", BIG, "t"), (None, None, AT_LEAST, "t"), (None, None, AT_LEAST, "t")], "page_id long, url string, html string, captured string")
+    got = sorted((r["page_id"] or 0, r["url"], r["record_type"], r["refers_to"] or 0) for r in w.archive(pages).collect())
+    assert got == [(0, "", "response", 0), (0, "", "response", 0), (0, "u", "revisit", 7), (0, "v", "revisit", 7), (7, "u", "response", 0)]
 
 
 def test_empty_table(spark):
