@@ -14,7 +14,8 @@ text of ``assistant`` messages.
 A conversation is one output row, so its turns meet in one task by nature; turns are
 escaped before they are grouped. Null roles and texts are empty. Null turns come
 first; repeated turns are kept, ordered by turn, role and text. A null ``conv_id`` is a
-conversation of its own. A part of unknown kind, or null, is an empty text.
+conversation of its own. A part of unknown kind, or null, is an empty text. Very long texts
+are formatted whole; a conversation must fit into one row.
 Extra columns play no part. An empty table gives no row.
 """
 
@@ -114,11 +115,12 @@ def loss_text(turns: str = "turns") -> Column:
 
 
 def digest(chats: DataFrame) -> DataFrame:
-    """Counts and hashes of each conversation, from its formatted text alone."""
+    """Counts and hashes of each conversation, from its formatted text; and its attachments, in order."""
     back = read_chats(chats)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length(loss_text()).cast("long").alias("loss_chars"), F.sha2(loss_text(), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), "n_attachment_tokens",
+        F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["kind"], a["ref"])), ",").alias("attachment_refs"),
     )

@@ -15,9 +15,11 @@ join is broadcast while the benchmark has ``BROADCAST_WORDS`` words or fewer; a
 one is shuffled.
 
 Lower-casing touches A-Z only. Null text has no words; a document without words has no
-hits. Items without words, or with a null id, match nothing. Repeated documents each get
-a row; repeated items count once. An item shorter than a window is one window. Extra
-columns play no part. Empty tables give no rows, or no hits.
+hits. Items without words match nothing; one with a null id hits words, and is in no list
+or count of items. Repeated documents each get a row; repeated items count once. An item
+shorter than a window is one window. Words of equal count are ranked by their place in the
+item. Very long texts are indexed whole, in one row of postings. Extra columns play no
+part. Empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from annalog.llm.durable import cut
 WINDOW = 10
 SLOP = 3
 BROADCAST_WORDS = 500_000
-BITMAP_BITS = 1 << 19
+#: Bits of the bitmap of terms, and at most so many times the terms.
+BITMAP_BITS, BITMAP_MOST, BITS_A_TERM = 1 << 19, 1 << 22, 16
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,7 +55,7 @@ def words(text: str = "text") -> Column:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, words, size) of each different item that has words; ``item`` is a key."""
-    rows = benchmark.where("item_id is not null").select("item_id", "text").distinct()
+    rows = benchmark.select("item_id", "text").distinct()
     rows = rows.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("string").alias("item_id"), words().alias("words"))
     return rows.withColumn("size", F.size("words")).where("size > 0")
 
@@ -91,23 +94,24 @@ def seeds(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFram
     )
 
 
-def _bitmap(terms: DataFrame) -> Column:
-    """A literal bitmap of term hashes: BITMAP_BITS bits, whatever the number of terms."""
-    place = F.xxhash64("word").bitwiseAND(F.lit(BITMAP_BITS - 1))
+def _bitmap(terms: DataFrame, bits: int) -> Column:
+    """A literal bitmap of term hashes."""
+    place = F.xxhash64("word").bitwiseAND(F.lit(bits - 1))
     rows = terms.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    held = dict(rows.groupBy("at").agg(F.bit_or("bit")).collect())  # at most BITMAP_BITS / 64 rows
-    return F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(BITMAP_BITS // 64))), ",").cast("array<long>")
+    held = dict(rows.groupBy("at").agg(F.bit_or("bit")).collect())  # at most bits / 64 rows
+    return F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(bits // 64))), ",").cast("array<long>")
 
 
 def index(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, doc_id, n_words, postings) of each document: a written table.
+    """(row, doc_id, mark, n_words, postings) of each document: a written table; mark: a hash of the text.
 
     A posting is (pos, word, before, after) for each place of a word of ``terms`` (word).
     """
-    bitmap = _bitmap(terms)
+    bits = min(BITMAP_MOST, max(BITMAP_BITS, 1 << (BITS_A_TERM * terms.count()).bit_length()))
+    bitmap = _bitmap(terms, bits)
 
     def listed(word: Column) -> Column:
-        place = F.xxhash64(word).bitwiseAND(F.lit(BITMAP_BITS - 1))
+        place = F.xxhash64(word).bitwiseAND(F.lit(bits - 1))
         return F.getbit(F.get(bitmap, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     reach = F.sequence(F.lit(1), F.lit(max(1, window - 1)))
@@ -118,10 +122,10 @@ def index(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
             F.transform(reach, lambda k: F.get("words", p - k)).alias("before"), F.transform(reach, lambda k: F.get("words", p + k)).alias("after"),
         )
 
-    tokens = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words().alias("words"))
+    tokens = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("mark"), words().alias("words"))
     found = F.array_compact(F.transform("words", lambda w, i: F.when(listed(w), i)))
-    placed = tokens.select("row", "doc_id", "words", found.alias("places"))
-    return cut(placed.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.transform("places", posting).alias("postings")), "postings")
+    placed = tokens.select("row", "doc_id", "mark", "words", found.alias("places"))
+    return cut(placed.select("row", "doc_id", "mark", F.size("words").cast("long").alias("n_words"), F.transform("places", posting).alias("postings")), "postings")
 
 
 def _agree(a: str, b: str) -> Column:
@@ -153,13 +157,16 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: in
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """For each row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted strings), n_near."""
+    """For each row of ``docs``: doc_id, mark, n_words, n_hit, item_ids (sorted strings), n_near.
+
+    n_near: items of which some window's two rarest words stand as far apart as in the item, give or take ``slop``.
+    """
     table, found = search(docs, benchmark, window, slop)
     found = cut(found.distinct(), "matches")
     hit = found.where("exact").select("row", F.explode(F.sequence("start", "stop")).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     near = found.groupBy("row").agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("item_ids"), F.count_distinct("item_id").alias("n_near"))
-    return table.select("row", "doc_id", "n_words").join(near, "row", "left").join(hit, "row", "left").select(
-        "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    return table.select("row", "doc_id", "mark", "n_words").join(near, "row", "left").join(hit, "row", "left").select(
+        "row", "doc_id", "mark", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
@@ -167,14 +174,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"), "n_near",
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark.
 
-    Rows with one doc_id go together if any of them is contaminated, null ids included.
+    Rows of one doc_id and text go together; other texts under that id, or under none, are judged by themselves.
     """
-    bad = contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    found = contamination(docs, benchmark).where("n_hit > 0")
+    bad = found.select(F.col("doc_id").alias("_bad"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left_anti")

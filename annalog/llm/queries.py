@@ -47,9 +47,19 @@ lens as (select distinct n from bw),
 dw as (select r, s, n, array_to_string(w[s : s + n - 1], ' ') as win from (select r, w, n, unnest(range(1, len(w) - n + 2)) as s from d, lens where len(w) >= n)),
 m as (select r, s, dw.n, item_id from dw join bw on dw.win = bw.win and dw.n = bw.n),
 h as (select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + n)) as p from m) group by r),
-i as (select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from m group by r)
-select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join h using (r) left join i using (r)
+i as (select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from m group by r),
+c as (select word, count(*) as n from (select unnest(w) as word from d) where word in (select unnest(w) from bl) group by word),
+iw as (select i, item_id, len, pos, word, coalesce(c.n, 0) as n from (select row_number() over () as i, item_id, n as len, w from bl) as x, unnest(w) with ordinality as t(word, pos) left join c using (word)),
+ws as (select distinct i, item_id, s, len from (select i, item_id, len, max(pos) as size from iw group by i, item_id, len), unnest(range(1, size - len + 2)) as t(s)),
+rk as (select ws.i, ws.item_id, ws.s, pos, word, row_number() over (partition by ws.i, ws.s order by iw.n, pos) as rank from ws join iw on ws.i = iw.i and pos between s and s + ws.len - 1),
+sd as (select distinct a.i, a.item_id, a.pos as p1, a.word as w1, coalesce(b.pos, a.pos) as p2, coalesce(b.word, a.word) as w2
+    from rk as a left join rk as b on a.i = b.i and a.s = b.s and b.rank = 2 where a.rank = 1),
+dt as (select r, pos, word from d, unnest(w) with ordinality as t(word, pos) where word in (select w1 from sd union select w2 from sd)),
+nr as (select x.r, count(distinct sd.item_id) as n_near from sd join dt as x on x.word = sd.w1 join dt as y on y.word = sd.w2 and y.r = x.r
+    where abs((x.pos - sd.p1) - (y.pos - sd.p2)) <= 3 group by x.r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+    coalesce(n_near, 0) as n_near
+from d left join h using (r) left join i using (r) left join nr using (r)
 """
 
 
@@ -80,7 +90,8 @@ select conv_id, count(*) as n_turns,
     sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
     cast(sum(12 + length(role) + length(role) - length(replace(role, chr(92), '')) + (length(role) - length(replace(role, '<|', ''))) / 2
         + length(role) - length(replace(role, chr(10), '')) + 1
-        + length(text) + length(text) - length(replace(text, chr(92), '')) + (length(text) - length(replace(text, '<|', ''))) / 2 + 11) as bigint) as formatted_chars
+        + length(text) + length(text) - length(replace(text, chr(92), '')) + (length(text) - length(replace(text, '<|', ''))) / 2 + 11) as bigint) as formatted_chars,
+    0 as n_attachments, 0 as n_attachment_tokens, '' as attachment_refs
 from said group by conv_id
 """
 

@@ -1,9 +1,12 @@
+import collections
 import random
 import re
 
+import duckdb
 import pytest
 
 from annalog.llm import decontaminate as d
+from annalog.llm import queries as q
 
 from .conftest import low, prose
 
@@ -16,13 +19,13 @@ def brute(text, items, window=10):
     for item, other in items:
         v = WORD.findall(low(other))
         n = min(window, len(v))
-        if not n or item is None:
+        if not n:
             continue
         wanted = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)}
         for i in range(len(w) - n + 1):
             if tuple(w[i : i + n]) in wanted:
                 hit.update(range(i, i + n))
-                found.add(str(item))
+                found |= {str(item)} - {"None"}
     return len(w), len(hit), sorted(found)
 
 
@@ -82,7 +85,60 @@ def test_contaminated_rows_go(spark, docs, corpus):
     stay = d.drop_contaminated(docs, bench)
     assert stay.columns == docs.columns
     gone = {3, *range(200, 205)}
-    assert sorted(r["doc_id"] for r in stay.collect()) == sorted(i for i, _, _ in corpus if i is not None and i not in gone)
+    kept = [(r["doc_id"], r["text"]) for r in stay.collect()]
+    assert sorted(i for i, _ in kept if i is not None) == sorted(i for i, _, _ in corpus if i is not None and i not in gone)
+    assert [t for i, t in kept if i is None] == [None]  # the clean one of the rows without an id
+
+
+def test_an_item_without_an_id_hits_but_is_not_listed(spark):
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j y"), (2, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c d e f g h i j")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in d.digest(d.contamination(docs, bench)).collect()}
+    assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (10, 0, True) and not got[2]["contaminated"]
+    assert [r["doc_id"] for r in d.drop_contaminated(docs, bench).collect()] == [2]
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "clean"), (1, "a b c d e f g h i j")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, "a b c d e f g h i j")], "item_id long, text string")
+    assert [r["text"] for r in d.drop_contaminated(docs, bench).collect()] == ["clean"]
+
+
+def near(rows, items, slop=3):
+    """Items near each text, by brute force: the two rarest words of a window at their distance, give or take ``slop``."""
+    texts = [WORD.findall(low(t)) for _, t in rows]
+    counts = collections.Counter(w for t in texts for w in t)
+    out = [set() for _ in rows]
+    for item, other in items:
+        v = WORD.findall(low(other))
+        n = min(10, len(v))
+        for s in range(len(v) - n + 1 if n else 0):
+            p = sorted(range(s, s + n), key=lambda k: (counts[v[k]], k))
+            a, b = p[0], p[min(1, n - 1)]
+            for w, found in zip(texts, out, strict=True):
+                at = [i for i, x in enumerate(w) if x == v[a]]
+                to = [i for i, x in enumerate(w) if x == v[b]]
+                if item is not None and any(abs((i - a) - (j - b)) <= slop for i in at for j in to):
+                    found.add(item)
+    return [len(x) for x in out]
+
+
+def test_proximity_is_that_of_brute_force(spark):
+    rows, items = case(4)
+    rows = [r for r in rows if r[0] is not None and r[0] != 5]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in d.contamination(docs, bench).collect()}
+    assert [got[i] for i, _ in rows] == near(rows, items) and max(got.values()) > 1
+
+
+def test_the_query_agrees_with_its_sql(spark, data):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+    want = con.execute(q.OP4_SQL).df().sort_values("doc_id").reset_index(drop=True)
+    got = q.op4_decontaminate(spark, data).toPandas().sort_values("doc_id").reset_index(drop=True)
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns) and got[cols].astype(str).equals(want[cols].astype(str)) and got.n_near.max() > 0
 
 
 def test_the_main_path_has_no_python(spark, docs):
