@@ -2,8 +2,9 @@
 
 ``cut`` ends a lineage by writing a frame as Parquet and reading it back, so a
 lost executor costs no more than re-running what comes after. The folder is the
-one named by ``spark.checkpoint.dir``; only where that is unset (tests on one
-machine) does this module choose a temporary folder itself.
+one named by ``spark.checkpoint.dir``; only where that is unset and the driver's machine
+is all there is (tests) does this module choose a temporary folder itself. On a cluster
+without that setting it refuses: each executor would write to a disk of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="annalog-")
         context.setCheckpointDir(named)
     return named.rstrip("/")

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from annalog.llm import durable
 
 
@@ -19,3 +21,20 @@ def test_only_the_discarded_goes(spark):
     durable.discard(a)
     assert b.count() == 4
     durable.discard(b)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "yarn"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        durable.shared_dir(Session())
