@@ -1,6 +1,8 @@
 import collections
 import random
 
+from pyspark.sql import functions as F
+
 from annalog.llm import quality_rules as q
 
 from .conftest import prose, words
@@ -56,3 +58,17 @@ def test_rows_keep_their_columns(docs, empty):
 def test_estimation_prefers_the_larger_agreement():
     p = q.estimate(["ggg-----", "bbb-----"], [90, 10])
     assert p["ggg-----"] > 0.9 and p["bbb-----"] < 0.1 and q.estimate([], []) == {}
+
+
+def test_columns_of_any_name_pass_through(spark, docs):
+    odd = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("_kept_votes", "n_words", "failed", "c0", "posterior", "a.b"))])
+    kept = q.keep_good(odd)
+    assert kept.columns == odd.columns
+    row = kept.first()
+    assert (row["votes"], row["_kept_votes"], row["n_words"], row["failed"], row["c0"], row["posterior"], row["a.b"]) == ("votes!", 0, 1, 2, 3, 4, 5)
+
+
+def test_a_poor_vocabulary_is_voted_bad_at_every_length(spark):
+    frame = spark.createDataFrame([(n, d) for n, d in ((2000, 50), (2001, 50), (20000, 100), (20000, 2000), (100, 24), (100, 26))], "n_words long, n_distinct long")
+    rule = dict((name, bad) for name, bad, _ in q.RULES)["variety"]
+    assert [r[0] for r in frame.select(F.expr(rule)).collect()] == [True, True, True, False, True, False]
