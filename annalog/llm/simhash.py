@@ -19,9 +19,10 @@ visitor tile, so that no task holds a hot anchor. Counts by anchor on the driver
 bounded by the size of the code.
 
 Lower-casing touches A-Z only. Null or empty text, and text without words, has
-fingerprint zero, linked like any other. A row with a null ``doc_id`` takes no part in
-linking; its component is null. Repeated rows share a component. Extra columns
-play no part; an empty table gives no row.
+fingerprint zero, linked like any other. Very long texts are hashed whole, in parts. A bit
+set in exactly half the shingles is not set. A row with a null ``doc_id`` takes no part in
+linking; its component is null. Repeated rows share a component; rows of one doc_id with
+other texts may be in several. Extra columns play no part; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -78,16 +79,16 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs``; fp is the fingerprint's bits as a signed long."""
+    """(doc_id, mark, fp) for each row of ``docs``; fp is the fingerprint's bits as a signed long, mark a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [fingerprints_of(data, offsets) for _, _, data, offsets in bs.blocks(batch.column("text"))]
             if made:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(made).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(np.concatenate(made).view(np.int64))], names=["doc_id", "mark", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, mark long, fp long")
 
 
 def code(dimension: int) -> np.ndarray:
@@ -234,15 +235,18 @@ def link(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``; component_id is the class's least doc_id."""
+    """(doc_id, mark, fp, root, component_id) for each row of ``docs``.
+
+    root names the class, component_id is its least doc_id: classes may share one where rows of one id differ.
+    """
     printed = cut(fingerprint(docs), "fingerprints")
     least = cut(printed.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     star = stars(link(least.select("fp")))
     # only linked fingerprints take part; the others are their own class
     linked = least.join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(best, "root").select("fp", "component_id")
-    return printed.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = linked.join(best, "root").select("fp", "root", "component_id")
+    return printed.join(named, "fp", "left").select("doc_id", "mark", "fp", "root", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def hex_of(fp: str = "fp"):
@@ -251,15 +255,21 @@ def hex_of(fp: str = "fp"):
 
 
 def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component_id in ``found``, once each, and those without an id."""
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    with_id = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that stand for their classes in ``found`` (doc_id, mark, root, component_id), and those without an id.
+
+    A class is stood for by its least doc_id, of several texts under that id by the one of the least hash.
+    """
+    stay = found.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("s"))
+    stay = stay.select(F.col("s.doc_id").alias("_stay"), F.col("s.mark").alias("_mark")).distinct()
+    rows = docs.where("doc_id is not null")
+    key = F.xxhash64(rows["text"])
+    with_id = rows.join(stay, (F.col("doc_id") == F.col("_stay")) & (key == F.col("_mark")), "left_semi")
+    return with_id.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the least doc_id.
 
-    Of repeated rows with that id one stays. Rows with a null id all stay.
+    Of repeated rows with that id and text one stays. Rows with a null id all stay.
     """
     return keep_least(docs, classes(docs))

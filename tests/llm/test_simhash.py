@@ -5,9 +5,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from annalog.llm import components, simhash as s
+from annalog.llm import components, near
+from annalog.llm import simhash as s
 
-from .conftest import low
+from .conftest import low, prose
 
 
 def brute_print(text):
@@ -128,3 +129,12 @@ def test_stars_on_a_long_path_and_a_hub(spark):
     got = {r["u"]: r["v"] for r in components.stars(spark.createDataFrame(path + hub + noise, "u long, v long")).collect()}
     assert got == {i: 100 for i in range(101, 161)} | {i: 1000 for i in range(1001, 1200)} | {5: 4}
     assert components.stars(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rows_of_one_id_with_other_texts_are_not_lost(spark):
+    rng = random.Random(21)
+    a, b = prose(rng, 60, 9000), prose(rng, 60, 9000)
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (3, b), (3, prose(rng, 60, 9000))], "doc_id long, text string")
+    for drop in (s.drop_near_duplicates, near.drop_near_duplicates):
+        got = sorted((r["doc_id"], r["text"]) for r in drop(docs).collect())
+        assert [i for i, _ in got] == [1, 1, 3] and {t for _, t in got[:2]} == {a, b}
