@@ -7,8 +7,9 @@ the present rule version, scans it, appends to the ledger, and joins the ledger'
 findings back to every document (path) that carries the blob.
 
 Only hashes and ids are grouped; a text moves once, in the join that picks the
-carriers, and a blob with any number of copies is scanned once. Spans are counted
-in code points, end exclusive.
+carriers, and a blob with any number of copies is scanned once; where a carrier's row is
+itself repeated, once in each task that meets it. Spans are counted in code points, end
+exclusive.
 
 Null text is the empty blob. A null ``doc_id`` is kept as it is. Repeated rows each
 get the findings of their blob. Very long texts are scanned whole. Extra columns
@@ -17,7 +18,6 @@ play no part. Equal spans of different kinds are all reported.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -79,8 +79,13 @@ def _code_points(text: bytes, found: list[tuple[str, int, int]]) -> list[dict]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
+    last = None
     for batch in batches:
-        out = []
+        # repeated rows stand together: the join has sorted them
+        blobs = batch.column("blob").to_pylist()
+        fresh = [i for i, b in enumerate(blobs) if b != (blobs[i - 1] if i else last)]
+        last = blobs[-1] if blobs else last
+        batch, out = batch.take(pa.array(fresh, pa.int64())), []
         for _, _, data, offsets in bs.blocks(batch.column("text")):
             starts, ends = bs.spans(_HEX[data], offsets)
             long = ends - starts >= 24
@@ -104,12 +109,12 @@ def _addressed(docs: DataFrame) -> DataFrame:
 def update(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
     """Ledger rows for the blobs of ``docs`` that ``ledger`` lacks under this version."""
     blobs = _addressed(docs)
-    carriers = blobs.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    # the row of a carrier: by its id among rows with an id, else any one row; ids are unique but for repeated rows
+    carriers = blobs.groupBy("blob").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("c"))
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
         carriers = carriers.join(known, "blob", "left_anti")
-    carriers = carriers.select(F.col("doc_id").alias("carrier"), F.col("blob").alias("wanted"))
-    # ids are unique but for repeated rows, so this join has no hot key
+    carriers = carriers.select(F.col("c.doc_id").alias("carrier"), F.col("blob").alias("wanted"))
     unseen = blobs.join(carriers, F.col("doc_id").eqNullSafe(F.col("carrier")) & (F.col("blob") == F.col("wanted")), "left_semi")
     scanned = unseen.select("blob", "text").mapInArrow(_scan, f"blob binary, findings {FINDINGS}")
     once = scanned.groupBy("blob").agg(F.first("findings").alias("findings"))
@@ -139,14 +144,3 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"),
     )
 
-
-def brute_force(text: str | None) -> list[tuple[str, int, int]]:
-    """The base spans of one text, straight from the patterns, in code points."""
-    text = text or ""
-    assign = re.compile(_ASSIGN.pattern.decode(), re.IGNORECASE | re.ASCII)
-    rules = (("assign", assign, lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24))
-    return sorted(((k, *m.span()) for k, p, ok in rules for m in p.finditer(text) if ok(m)), key=lambda x: (x[1], KINDS.index(x[0])))
-
-
-def spans_digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
