@@ -6,20 +6,26 @@ with the word it comes from. A passage of ``WINDOW`` consecutive words is the me
 its words, and a two-class linear softmax reads it. A document's score is that of its
 most toxic passage, so a long text can't water a short insult down. Vectors and
 softmax are trained together, in numpy, by minibatch AdaGrad; each round first picks
-every training document's top passage under the present model.
-
-Training takes at most ``MAX_ROWS`` labelled documents of each class, the first ones
-by a hash of ``doc_id``, in one task; that bound is what keeps the task's memory
-bounded. Scoring covers every document and every word, in one pass without a shuffle.
-
-Null or empty text scores as the bias alone. Null labels and labels of unknown
-documents are not used; a document with several labels is toxic if any says so. With
-no toxic label scores are below 1e-200, with no other label 0.5. Extra columns play no part: only ``text``
-reaches the score.
+every training document's top passage under the present model. One document in
+``VALID`` of those to train on is kept out of the steps; the model of the round with the least
+loss on them is the one that counts, and training ends when ``PATIENCE`` rounds bring none.
+
+Training takes at most ``MAX_ROWS`` labelled documents of each class and ``MAX_BYTES`` of text
+in all, the first ones by a hash of ``doc_id``, in one task; these bounds are what keeps the
+task's memory and time bounded. Scoring covers every document and every word, in one pass
+without a shuffle.
+
+Null or empty text scores as the bias alone. Very long texts are scored whole, in parts. Null
+labels and labels of unknown documents are not used; a document with several labels is toxic
+if any says so. Repeated rows of a labelled doc_id count once in training; of several
+texts under one doc_id the one of the least hash does. Of equal passages the first is a
+document's top one. With no toxic label scores are below 1e-200, with no other label 0.5.
+Extra columns play no part: only ``text`` reaches the score. An empty table gives no row.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,11 +38,14 @@ from annalog.llm import bytescan as bs
 
 BUCKETS = 1 << 17
 DIM = 4
-WINDOW = 8
-SIZES = (3, 4, 5)
+WINDOW = 2
+SIZES = (3, 4, 5, 6)
 MAX_ROWS = 6000
+MAX_BYTES = 48 << 20
 PART = 1 << 16
 ROUNDS = 8
+PATIENCE = 2
+VALID = 8
 OTHERS = 3
 
 
@@ -168,20 +177,32 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
     odds[found < 5] = 0
     means, begin = _windows(odds[token], first)
 
+    valid = np.arange(len(toxic)) % VALID == VALID - 1 if len(toxic) >= 8 * VALID else np.zeros(len(toxic), dtype=bool)
+    best_model, least, since = None, np.inf, 0
     gv, gw, gb = np.full((BUCKETS, 1), 1e-6, np.float32), np.full((2, DIM), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     some = np.flatnonzero(np.diff(first))
+    learn = some[~valid[some]]
     balance = np.where(toxic == 1, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
-    for r in range(rounds):
+    for r in range(rounds + 1):
         if r:
             share = vectors @ (weights[1] - weights[0])
             logits = np.add.reduceat(share[bucket], row[:-1]) / np.diff(row)
             means, begin = _windows(logits[token], first)
+            if valid.any():
+                z = _top(means, first)[valid] + (bias[1] - bias[0])
+                loss = float((balance[valid] * np.logaddexp(0, np.where(toxic[valid] == 1, -z, z))).mean())
+                if loss < least:
+                    best_model, least, since = Model(vectors.copy(), weights.copy(), bias.copy()), loss, 0
+                else:
+                    since += 1
+            if r == rounds or since == PATIENCE:
+                break
         best = np.repeat(np.maximum.reduceat(means, first[some]), np.diff(first)[some])
-        hit = np.flatnonzero(means >= best)
+        hit = np.flatnonzero((means >= best) & ~valid[document])
         hit = hit[np.unique(document[hit], return_index=True)[1]]
         picked = [begin[hit]]
         # other passages of clean texts are clean as well
-        clean = some[toxic[some] == 0]
+        clean = learn[toxic[learn] == 0]
         for _ in range(OTHERS):
             picked.append(begin[(first[clean] + rng.random(len(clean)) * np.diff(first)[clean]).astype(np.int64)])
         starts = np.concatenate(picked)
@@ -215,20 +236,32 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
             weights -= 0.05 * grad / np.sqrt(gw)
             gb += p.sum(axis=0) ** 2
             bias -= (0.1 * p.sum(axis=0) / np.sqrt(gb)).astype(np.float32)
-    return Model(vectors, weights, bias)
+    return best_model or Model(vectors, weights, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     key = F.xxhash64("doc_id")
     # at most 2 * max_rows ids: a bounded broadcast
     chosen = [known.where(F.col("toxic") == k).orderBy(key, "doc_id").limit(max_rows) for k in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    # a row for each id, however often it is repeated
+    one = met.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("m"))
+    sizes = sorted(((r["mark"], r["size"], r["key"], r["doc_id"]) for r in one.select("doc_id", "m.mark", "m.size", key.alias("key")).collect()), key=lambda r: (r[2], r[3]))  # 2 * max_rows rows at most
+    taken, room = [], max_bytes
+    for mark, size, _, doc_id in sizes:
+        if size <= room:
+            taken.append((doc_id, mark))
+            room -= size
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    few = docs.sparkSession.createDataFrame(taken, f"few_id {kind}, few_mark long")
+    sample = met.join(F.broadcast(few), (F.col("doc_id") == F.col("few_id")) & (F.xxhash64("text") == F.col("few_mark")))
+    sample = sample.groupBy("doc_id", "few_mark").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(d, t or b"", y) for b in batches for d, t, y in zip(b["doc_id"].to_pylist(), b["text"].cast(pa.large_binary()).to_pylist(), b["toxic"].to_pylist(), strict=True)]
-        rows.sort(key=lambda x: (x[0], x[1]))
+        rows.sort(key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0]))  # so that those kept out are any, not the last
         m = fit([t for _, t, _ in rows], np.array([int(y) for *_, y in rows], dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([m.vectors.tobytes()]), pa.array([m.weights.tobytes()]), pa.array([m.bias.tobytes()])], names=["v", "w", "b"])
 

@@ -55,3 +55,28 @@ def test_no_labels_or_one_class(spark, docs, empty):
     one = spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, toxic int")
     assert max(r["score"] for r in t.score(docs, t.train(docs, one)).collect()) < 0.5
     assert t.score(empty, t.train(docs, one)).count() == 0
+
+
+def test_repeated_and_very_long_labelled_rows_are_bounded(spark):
+    train = texts(3, 120)
+    long = [(999, "w7 " * 20000, 0)]
+    rows = [r[:2] for r in train + long] + [train[0][:2]] * 40 + [(train[1][0], "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in train + long], "doc_id long, toxic int")
+    model = t.train(docs, labels, max_bytes=30_000)  # the long one doesn't fit
+    once = t.train(docs.dropDuplicates(), labels, max_bytes=30_000)
+    assert (model.vectors == once.vectors).all()
+    few = t.train(docs, labels, max_rows=20)
+    assert np.isfinite(few.vectors).all()
+
+
+def test_training_ends_by_the_kept_out_share():
+    rows = texts(4, 300)
+    made = t.fit([r[1].encode() for r in rows], np.array([r[2] for r in rows]), rounds=8)
+    more = t.fit([r[1].encode() for r in rows], np.array([r[2] for r in rows]), rounds=40)
+    assert np.isfinite(made.vectors).all() and np.isfinite(more.vectors).all()
+    share, bias = more.logits()
+    data = b"".join(r[1].encode() for r in texts(5, 100))
+    offsets = np.cumsum([0, *(len(r[1].encode()) for r in texts(5, 100))])
+    got = t.score_block(np.frombuffer(data, np.uint8), offsets, share, bias)
+    assert ((got >= 0.5) == (np.array([r[2] for r in texts(5, 100)]) == 1)).mean() > 0.9
