@@ -48,7 +48,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalog.llm import bytescan as bs
@@ -59,15 +59,15 @@ CLUSTERED = 4096
 WAYS = 16
 CLUSTERS = 16
 FORMS = 8
-TOKENS_A_ROW = 256
+TOKENS_A_ROW = 512
 LEAST_BITS, MOST_BITS = 16, 20
 ROUNDS = 2
 GROUP_FLOATS = 1
 LEAST_GROUP = 1 << 20
 ROUND_GROUPS = 1024
 PARTS = 128
-BATCH = 512
-RATE = 0.25
+BATCH, CHUNK = 512, 4096
+RATE = 0.4
 SETTLE = 1.0
 
 END = np.uint64(0x1F3D5B79A2C4E681)
@@ -283,29 +283,31 @@ _ONES, _ONE = np.ones(WAYS, np.float32), np.float32(1)
 
 
 def steps(weights: np.ndarray, met: np.ndarray, prior: np.ndarray, c: Choices, rate: float = RATE) -> None:
-    """Gradient steps over the choices, in place; ``met`` counts how often each row was met.
+    """Gradient steps over the choices, in place; ``met`` counts the steps of each row.
 
-    A row moves by its gradients' sum, the less the oftener it was met before.
+    A row moves the less the oftener it has moved; if a batch meets it several times, the last gradient is the one that counts.
     """
-    flat, lanes = weights.reshape(-1), np.arange(WAYS)
     for lo in range(0, c.rows.shape[1], BATCH):
         r, o = c.rows[:, lo : lo + BATCH], c.outcome[lo : lo + BATCH]
-        p = np.exp(logits(weights, prior.take(c.node[lo : lo + BATCH], 0), r))
+        w = [weights.take(f, 0) for f in r]
+        z = w[0] + w[1]
+        z += w[2]
+        z += prior.take(c.node[lo : lo + BATCH], 0)
+        p = np.exp(np.clip(z, -60, 60, out=z), out=z)
         p /= (p @ _ONES)[:, None]
         p[np.arange(len(o)), o] -= 1
-        moved = np.empty_like(p)
-        for f in r:
-            np.add.at(met, f, _ONE)
-            np.multiply(p, (rate / np.sqrt(1 + met[f] / SETTLE))[:, None], out=moved)
-            np.subtract.at(flat, ((f.astype(np.int64) * WAYS)[:, None] + lanes).reshape(-1), moved.reshape(-1))
+        for f, own in zip(r, w, strict=True):
+            n = met.take(f) + _ONE
+            own -= p * (rate / np.sqrt(1 + n / SETTLE)).astype(np.float32)[:, None]
+            weights[f], met[f] = own, n
 
 
 def gains(m: Model, c: Choices, n: int) -> np.ndarray:
     """log10 probability of each of ``n`` tokens by its choices."""
     out = np.zeros(len(c.token))
-    for lo in range(0, len(out), BATCH):
-        z = logits(m.weights, m.tree.prior.take(c.node[lo : lo + BATCH], 0), c.rows[:, lo : lo + BATCH])
-        out[lo : lo + BATCH] = z[np.arange(len(z)), c.outcome[lo : lo + BATCH]] - np.log(np.exp(z) @ _ONES)
+    for lo in range(0, len(out), CHUNK):
+        z = logits(m.weights, m.tree.prior.take(c.node[lo : lo + CHUNK], 0), c.rows[:, lo : lo + CHUNK])
+        out[lo : lo + CHUNK] = z[np.arange(len(z)), c.outcome[lo : lo + CHUNK]] - np.log(np.exp(z) @ _ONES)
     return np.bincount(c.token, weights=out, minlength=n) / np.log(10)
 
 
@@ -315,12 +317,12 @@ def _neighbours(docs: DataFrame, common: np.ndarray) -> np.ndarray:
     held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held.value
-        order = np.argsort(words)
-        total = np.zeros((len(words), 2 * context), dtype=np.int64)
+        order = np.argsort(held.value)
+        words = held.value[order]
+        total, keys, size = np.zeros(len(words) * 2 * context, dtype=np.int64), [], 0
         for _, _, _, t in _blocks(batches):
-            at = np.minimum(np.searchsorted(words[order], t.h), len(words) - 1)
-            rank = np.where(words[order][at] == t.h, order[at], -1)
+            at = np.minimum(np.searchsorted(words, t.h), len(words) - 1)
+            rank = np.where(words[at] == t.h, order[at], -1)
             same = np.ones(len(rank), dtype=bool)
             same[t.first[:-1]] = False  # the token before is another document's
             a, b = rank[:-1], rank[1:]
@@ -328,7 +330,14 @@ def _neighbours(docs: DataFrame, common: np.ndarray) -> np.ndarray:
             a, b = a[ok], b[ok]
             for x, y, shift in ((a, b, 0), (b, a, context)):  # y's neighbour x
                 near = x < context
-                total += np.bincount(y[near] * 2 * context + x[near] + shift, minlength=total.size).reshape(total.shape)
+                keys.append(y[near] * (2 * context) + x[near] + shift)
+                size += len(keys[-1])
+            if size > 1 << 20:
+                total += np.bincount(np.concatenate(keys), minlength=len(total))
+                keys, size = [], 0
+        if size:
+            total += np.bincount(np.concatenate(keys), minlength=len(total))
+        total = total.reshape(len(words), 2 * context)
         rows, cols = np.nonzero(total)
         if len(rows):
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(cols), pa.array(total[rows, cols])], names=["w", "c", "n"])
@@ -393,6 +402,14 @@ def _begin(docs: DataFrame, counts: DataFrame) -> Model:
     return Model(h, n, total, distinct, tree(own, n + 1.0, tail), tail, np.zeros((1 << bits, WAYS), np.float32))
 
 
+def _apart(spark: SparkSession, column: str, low: int, high: int) -> Column:
+    """A key for each of the integers low..high-1 such that they go to as many partitions, one each."""
+    n = high - low
+    tried = spark.range(64 * n + 64).select(F.col("id").cast("int").alias("x"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("x"))
+    keys = dict(tried.collect())
+    return F.get(F.array(*[F.lit(keys.get(i, i)).cast("int") for i in range(n)]), F.col(column) - low)
+
+
 def train(docs: DataFrame, counts: DataFrame) -> Model:
     """A model of the texts of ``docs`` (doc_id, text); ``counts`` is their ``count_words``."""
     spark = docs.sparkSession
@@ -448,7 +465,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
             out = (total[some] / mass[some, None]).astype(np.float32)
             return pd.DataFrame({"k": [int(rows["k"].iloc[0])], "rows": [some.tobytes()], "w": [out.tobytes()]})
 
-        share = dealt.where((F.col("group") >= low) & (F.col("group") < high)).repartition(4 * max(1, high - low), "group").sortWithinPartitions("group", "key")
+        share = dealt.where((F.col("group") >= low) & (F.col("group") < high)).repartition(high - low, _apart(spark, "group", low, high)).sortWithinPartitions("group", "key")
         sent_rows = share.select("group", "text").mapInArrow(run, "k long, group int, rows binary, met binary, w binary")
         made = sent_rows.groupBy("k").applyInPandas(average, "k long, rows binary, w binary").collect()  # the weights, once
         for x in made:
