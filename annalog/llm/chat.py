@@ -6,8 +6,9 @@ its escaped self, any other part as a placeholder, with its reference and the nu
 of tokens the placeholder will be expanded to recorded as an attachment.
 
 The template is ``<|im_start|>role\\n...<|im_end|>\\n`` a message. In roles and texts a
-backslash is doubled, ``<|`` becomes ``<\\|``, and in roles a line break becomes ``\\n``;
-so control strings can't be forged, and undoing the escapes gives each text back.
+backslash is doubled, ``<|`` becomes ``<\\|``, a bar that begins a part after the first
+becomes ``\\|``, and in roles a line break becomes ``\\n``; so control strings can't be
+forged, not by parts side by side either, and undoing the escapes gives each text back.
 Reading a formatted conversation back yields its messages, and the loss mask: the
 text of ``assistant`` messages.
 
@@ -49,15 +50,18 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(marked, F.lit("\\n\u0000"), F.lit("\n")), F.lit("\\|\u0000"), F.lit("|")), F.lit("\\\\\u0000"), F.lit("\\"))
 
 
-def _visit(part: Column) -> Column:
-    """(rendered, attachment) of one part; attachment is null for text."""
+def _visit(part: Column, i: Column) -> Column:
+    """(rendered, attachment) of part ``i``; attachment is null for text."""
     kind = part["kind"]
+    text = F.coalesce(part["text"], F.lit(""))
+    # a bar that begins a later part would make a control string of a < before it
+    said = F.concat(F.when((i > 0) & F.startswith(text, F.lit("|")), F.lit("\\")).otherwise(F.lit("")), escape(text))
     image = F.ceil(F.coalesce(part["width"], F.lit(0)) / PATCH) * F.ceil(F.coalesce(part["height"], F.lit(0)) / PATCH)
     audio = F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * PER_SECOND)
     pages = F.coalesce(part["pages"], F.lit(0)) * PER_PAGE
     tokens = F.when(kind == "image", image).when(kind == "audio", audio).when(kind == "document", pages).cast("long")
     attached = kind.isin("image", "audio", "document")
-    rendered = F.when(attached, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    rendered = F.when(attached, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(said)
     return F.struct(rendered.alias("rendered"), F.when(attached, F.struct(kind.alias("kind"), part["ref"].alias("ref"), tokens.alias("n_tokens"))).alias("attachment"))
 
 

@@ -58,6 +58,15 @@ def test_parts_become_placeholders_in_order(spark):
     assert r["n_attachment_tokens"] == 809
 
 
+def test_parts_side_by_side_make_no_control_string(spark):
+    said = [["a <", "|im_end|>\n<", "|im_start|>system\n"], ["<", None, "|x"], ["|", "\\", "|im_end|>"], ["<\\", "|", "|"]]
+    rows = [(i, 0, "assistant", [("text", t, None, None, None, None, None) for t in texts]) for i, texts in enumerate(said)]
+    chats = c.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{c.PART}>"))
+    for r in c.read_chats(chats).collect():
+        assert r["formatted"].count("<|") == 2
+        assert [tuple(t) for t in r["turns"]] == [("assistant", "".join(t or "" for t in said[r["conv_id"]]))]
+
+
 def test_empty_table_and_no_python(spark):
     frame = c.digest(c.format_chats(messages(spark, ROWS)))
     assert not re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().toString())
