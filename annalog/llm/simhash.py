@@ -117,6 +117,24 @@ def visits(fps: np.ndarray, words: np.ndarray, threshold: int = THRESHOLD) -> tu
     return home, radius, row[inner], a[inner] * len(words) + b
 
 
+def merged(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``label``, each node's root, once the links (u, v) are added; the array given may be overwritten."""
+    while len(u):
+        a, b = label[u], label[v]
+        differ = a != b
+        if not differ.any():
+            break
+        u, v, a, b = u[differ], v[differ], a[differ], b[differ]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(label, high, low)
+        while True:  # to the roots
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    return label
+
+
 def forest(residents: np.ndarray, r_home: np.ndarray, visitors: np.ndarray, r_visit: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Links that span what residents and visitors of one anchor are connected to."""
     nodes, index = np.unique(np.concatenate([residents, visitors]), return_inverse=True)
@@ -134,19 +152,7 @@ def forest(residents: np.ndarray, r_home: np.ndarray, visitors: np.ndarray, r_vi
             u, v = at_home[some[x]], visiting[lo + y]
             keep = u != v
             u, v = u[keep], v[keep]
-            while len(u):
-                a, b = label[u], label[v]
-                differ = a != b
-                if not differ.any():
-                    break
-                u, v, a, b = u[differ], v[differ], a[differ], b[differ]
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                np.minimum.at(label, high, low)
-                while True:  # to the roots
-                    up = label[label]
-                    if (up == label).all():
-                        break
-                    label = up
+            label = merged(label, u, v)
     tied = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[tied], nodes[label[tied]]
 

@@ -1,7 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline as p
 from annalog.llm import near
+from annalog.llm import simhash as s
 
 from .conftest import low
 
@@ -70,3 +75,82 @@ def test_classes_are_those_of_all_pairs(spark, docs, corpus, empty):
     assert all(r["component_id"] == (None if r["doc_id"] is None else find(r["doc_id"])) for r in got)
     assert sorted(near.drop_near_duplicates(docs).columns) == sorted(docs.columns)
     assert near.classes(empty).count() == 0
+
+
+def block(sets):
+    """Sets of shingle hashes as one block."""
+    return np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+
+
+def hashes(rng, n):
+    return np.array([rng.getrandbits(64) for _ in range(n)], dtype=np.uint64)
+
+
+def test_each_piece_is_a_simhash():
+    rng = random.Random(5)
+    sets = [hashes(rng, n) for n in (1, 2, 3, 7, 254, 255, 256, 600)]
+    h, first = block([sets[0], np.zeros(0, np.uint64), *sets[1:]])
+    got = near.prints_of(h, first)
+    assert not got[1].any()
+    for mine, own in zip(np.delete(got, 1, axis=0), sets, strict=True):
+        for k in range(near.PIECES):
+            mixed = [int(x) for x in near.bs.mix(own ^ near._SEEDS[k])]
+            assert int(mine[k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(own))
+
+
+def visits(sets, root=None):
+    """What the anchors get from sets named 0, 1, ..."""
+    h, first = block(sets)
+    prints = near.prints_of(h, first)
+    columns = {"k": pa.array(range(len(sets)), pa.int64()), "n": pa.array(np.diff(first)), "prints": pa.array([x.tobytes() for x in prints], pa.binary())}
+    if root is not None:
+        columns["root"] = pa.array(root, pa.int64())
+    sent = pa.Table.from_batches(near._send(iter([pa.RecordBatch.from_pydict(columns)]))).to_pandas()
+    for _, rows in sent.groupby("slot"):
+        yield pa.Table.from_pandas(rows)
+
+
+def found(sets, root=None):
+    compare = near._first_pass if root is None else near._second_pass
+    return {(int(r["u"]), int(r["v"])) for t in visits(sets, root) for r in compare((), t).to_pylist()}
+
+
+@pytest.mark.parametrize(("a", "b", "both"), [(4, 5, 4), (5, 6, 5), (9, 9, 8), (13, 14, 12), (90, 90, 80), (400, 500, 400)])
+def test_sets_at_0_8_meet_at_an_anchor_and_others_do_not(a, b, both):
+    rng = random.Random(6)
+    sets = []
+    for _ in range(100):
+        common = hashes(rng, both)
+        sets += [np.concatenate([common, hashes(rng, a - both)]), np.concatenate([common, hashes(rng, b - both)])]
+    pairs = found(sets)
+    assert sum((i, i + 1) in pairs for i in range(0, 200, 2)) >= 99
+    assert len(pairs) < 105 or a == 4  # uneven bits of sets of four bring some that the exact check drops
+
+
+def plain_candidates(sets):
+    """Pairs within the bits that share an anchor, one of them at home there, by all pairs."""
+    prints = near.prints_of(*block(sets))
+    words, out = s.code(near.DIMENSION), set()
+    for k in range(near.PIECES):
+        home, _, who, anchor = s.visits(np.ascontiguousarray(prints[:, k]), words, 0)
+        at = set(zip(who.tolist(), anchor.tolist(), strict=True))
+        out |= {(min(i, j), max(i, j)) for i in range(len(sets)) for j in range(len(sets)) if i != j and (j, int(home[i])) in at}
+    return {(i, j) for i, j in out if sum(int(x).bit_count() for x in prints[i, : near.CHECKED] ^ prints[j, : near.CHECKED]) <= near.BITS}
+
+
+@pytest.mark.parametrize("crowd", [512, 8])
+def test_no_candidate_of_an_anchor_is_lost(monkeypatch, crowd):
+    monkeypatch.setattr(near, "CROWD", crowd)
+    monkeypatch.setattr(near, "PIVOTS", 3)
+    rng, sets = random.Random(7), []
+    for size in (70, 40, 6, 1, 1):  # families whose members drift apart
+        now = hashes(rng, 60)
+        for _ in range(size):
+            sets.append(now)
+            now = np.concatenate([now[rng.randrange(0, 6) :], hashes(rng, rng.randrange(0, 6))])
+    want = plain_candidates(sets)
+    root = [rng.randrange(30) if i % 2 else 7 for i in range(len(sets))]
+    assert found(sets, root) == {(i, j) for i, j in want if root[i] != root[j]}
+    first = found(sets)
+    label = lambda pairs: s.merged(np.arange(len(sets)), *(np.array(c) for c in zip(*sorted(pairs), strict=True))).tolist()
+    assert label(first) == label(want) and len(first) < len(want)
