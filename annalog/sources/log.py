@@ -52,6 +52,10 @@ RANGES = 64
 GROWTH = 2
 #: Facts in one file of a bulk load or a run, so that a task of a stream is bounded.
 FILE_FACTS = 1_000_000
+#: Facts of one commit that may meet its row in one task, where the rows of commits aren't broadcast.
+BLOCK_FACTS = 100_000
+#: Rows of commits, one for each ``BLOCK_FACTS`` of their facts, that are broadcast: some 10 MB.
+BROADCAST_BLOCKS = 100_000
 #: Commits after which an open log looks for a newer segment.
 SEGMENT_CHECK = 256
 
@@ -357,9 +361,13 @@ class Log:
         if not kept:
             return None
         data = self.spark.read.schema(DATA).parquet(*[f"{self.path}/data/{c.batch_id}" for c in kept])
-        commits = self.spark.createDataFrame([(c.batch_id, c.first_position, c.appended_at) for c in kept], "batch_id string, first_position long, appended_at timestamp_ntz")
-        # a row a commit: Spark broadcasts it by its size, or shuffles it
-        joined = data.join(commits, "batch_id").withColumn("position", F.col("first_position") + F.col("ordinal"))
+        # a row a block of a commit, so that a large commit isn't one key of a join that has to shuffle
+        rows = [(c.batch_id, block, c.first_position, c.appended_at) for c in kept for block in range(-(-c.fact_count // BLOCK_FACTS))]
+        commits = self.spark.createDataFrame(rows, "batch_id string, block long, first_position long, appended_at timestamp_ntz")
+        if len(rows) <= BROADCAST_BLOCKS:
+            commits = F.broadcast(commits)
+        placed = data.withColumn("block", F.expr(f"ordinal div {BLOCK_FACTS}"))
+        joined = placed.join(commits, ["batch_id", "block"]).withColumn("position", F.col("first_position") + F.col("ordinal"))
         return joined.select("position", "fact_id", "type", "subject", "appended_at", "payload", "metadata", "tags")
 
     def _joined(self, *parts: DataFrame | None) -> DataFrame:
