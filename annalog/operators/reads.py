@@ -17,6 +17,17 @@ from annalog.values import Direction, TagQuery, TimeRange
 from annalog.values import limit as valid_limit
 
 
+#: Rows of a range, where Spark's own number of partitions would leave more to a task.
+TASK_FACTS = 500_000
+
+
+def spread(facts: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """``facts``, ``rows`` of them, in ranges of some columns: as many as Spark makes, which may put small ones together, or one for ``TASK_FACTS``."""
+    ranges = -(-rows // TASK_FACTS)
+    few = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return facts.repartitionByRange(ranges, *columns) if ranges > few else facts.repartitionByRange(*columns)
+
+
 def _ordered(facts: DataFrame, keys: list[str], direction: Direction, limit: int | None) -> DataFrame:
     ordered = facts.orderBy(*[F.col(k).asc() if direction is Direction.FORWARD else F.col(k).desc() for k in keys])
     return ordered if valid_limit(limit) is None else ordered.limit(limit)

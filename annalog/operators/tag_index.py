@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalog.functions.columns import any_of
+from annalog.operators.reads import spread
 from annalog.values import TagQuery, TypesAndTags
 
 
@@ -22,8 +23,8 @@ def entries(facts: DataFrame) -> DataFrame:
 
 def write(facts: DataFrame, path: str) -> None:
     """The index as Parquet in ranges of (key, value, position); a common tag may fill several files."""
-    ranged = entries(facts).repartitionByRange("tag_key", "tag_value", "position")
-    ranged.sortWithinPartitions("tag_key", "tag_value", "position").write.parquet(path)
+    rows, columns = entries(facts), ("tag_key", "tag_value", "position")
+    spread(rows, rows.count(), *columns).sortWithinPartitions(*columns).write.parquet(path)
 
 
 def _wanted(tags: Mapping[str, str]):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from annalog import queries as core
 from annalog.functions import columns
-from annalog.operators import tag_index
+from annalog.operators import reads, tag_index
 from annalog.sources.tables import ACTIVITY
+from annalog.values import TagQuery, TagsOnly
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -68,6 +69,18 @@ def test_a_written_tag_index_answers_as_the_map_does(spark, data, tmp_path):
     assert found.count() == facts.where(columns.has_tag("user", "3")).count() > 0
 
 
+def test_a_range_of_the_tag_index_is_bounded_in_rows(spark, data, tmp_path, monkeypatch):
+    """With few partitions for shuffles too; 4 here, which would have 500 entries each."""
+    monkeypatch.setattr(reads, "TASK_FACTS", 100, raising=False)
+    facts = ACTIVITY.read(spark, data)
+    tag_index.write(facts, str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    sizes = [r["count"] for r in index.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == tag_index.entries(facts).count() == 2000 and len(sizes) >= 15 and max(sizes) < 300
+    one = TagQuery(TagsOnly({"user": "3"}))
+    assert {r[0] for r in tag_index.query_positions(index, one).collect()} == {r[0] for r in reads.by_tag_query(facts, one).select("position").collect()}
+
+
 def test_renderings(spark):
     at = "timestamp_ntz '2024-01-02 03:04:05.678'"
     df = spark.sql(f"select 'i' fact_id, 't' type, 's' subject, {at} appended_at, named_struct('data', cast('a\nb{'c' * 50}' as binary)) payload, map('m', '1') metadata, map() tags")
