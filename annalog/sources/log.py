@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalog.operators import tag_index
+from annalog.operators.reads import spread
 from annalog.sources import arrow_io
 from annalog.sources.files import Files
 from annalog.values import FactInput
@@ -423,14 +424,15 @@ class Log:
         if merged:
             keys = keys.unionByName(self.spark.read.schema("key string").parquet(*[f"{self.path}/{r.path}/keys" for r in merged]))
         keys.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{self.path}/{path}/keys")
-        ordered = facts.repartitionByRange("position").sortWithinPartitions("position")
+        rows = snapshot.end - first
+        ordered = spread(facts, rows, "position").sortWithinPartitions("position")
         ordered.write.option("maxRecordsPerFile", FILE_FACTS).parquet(f"{self.path}/{path}/facts")
         written = self.spark.read.schema(FACTS).parquet(f"{self.path}/{path}/facts")
         for name, columns in (("ids", ["fact_id", "position"]), ("subjects", ["subject", "position", "fact_id"])):
-            written.select(*columns).repartitionByRange(*columns[:2]).sortWithinPartitions(*columns[:2]).write.parquet(f"{self.path}/{path}/{name}")
+            spread(written.select(*columns), rows, *columns[:2]).sortWithinPartitions(*columns[:2]).write.parquet(f"{self.path}/{path}/{name}")
         tag_index.write(written, f"{self.path}/{path}/tags")
-        spread = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("position").alias("lo"), F.max("position").alias("hi")).orderBy("lo").collect()  # a row a file
-        run = Run(path, first, snapshot.end, tuple((r["file"], r["lo"], r["hi"]) for r in spread))
+        extents = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("position").alias("lo"), F.max("position").alias("hi")).orderBy("lo").collect()  # a row a file
+        run = Run(path, first, snapshot.end, tuple((r["file"], r["lo"], r["hi"]) for r in extents))
         segment = Segment(snapshot.number, snapshot.end, snapshot.last_at, (*runs, run))
         if not self.files.publish(f"segments/{commit_name(segment.commits)}", segment.to_json()):
             return False
