@@ -24,7 +24,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalog.operators import tag_index
@@ -57,6 +57,8 @@ FILE_FACTS = 1_000_000
 BLOCK_FACTS = 100_000
 #: Rows of commits, one for each ``BLOCK_FACTS`` of their facts, that are broadcast: some 10 MB.
 BROADCAST_BLOCKS = 100_000
+#: Of ``monotonically_increasing_id``, the bits below the number of a partition.
+PLACE_BITS = 33
 #: Commits after which an open log looks for a newer segment.
 SEGMENT_CHECK = 256
 
@@ -458,7 +460,7 @@ def load(log: Log, facts: DataFrame) -> Commit:
 
     For large histories from elsewhere: rows are written by the executors, in the order of
     ``position``, and no row passes through the driver. Ordinals are dense: a count by
-    partition gives each partition its first one. Ids are those of the frame.
+    partition gives each partition its first one, and its rows are numbered as they are written. Ids are those of the frame.
     """
     payload = F.struct(F.lit(b"").alias("data"), F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("schema_ref"))
     given = facts.columns
@@ -468,17 +470,18 @@ def load(log: Log, facts: DataFrame) -> Commit:
     )
     spark, batch = log.spark, uuid.uuid4().hex
     staged = f"{log.path}/staged/{batch}"
-    rows.repartitionByRange("position").sortWithinPartitions("position").withColumn("part", F.spark_partition_id()).write.parquet(staged)
-    ordered = spark.read.parquet(staged)
+    spread(rows, facts.count(), "position").sortWithinPartitions("position").withColumn("place", F.monotonically_increasing_id()).write.parquet(staged)
+    # a place is the number of a partition and, below it, that of a row in it: nothing is dealt out or sorted again
+    ordered = spark.read.parquet(staged).withColumn("part", F.shiftrightunsigned("place", PLACE_BITS))
+    row = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     sizes = sorted(ordered.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a partition
     starts, total = [], 0
     for part, n in sizes:
         starts.append((part, total))
         total += n
     if total:
-        first = spark.createDataFrame(starts, "part int, start long")
-        place = F.row_number().over(Window.partitionBy("part").orderBy("position")) - 1
-        placed = ordered.join(F.broadcast(first), "part").withColumn("ordinal", F.col("start") + place)
+        first = spark.createDataFrame(starts, "part long, start long")
+        placed = ordered.join(F.broadcast(first), "part").withColumn("ordinal", F.col("start") + row)
         placed.select(F.lit(batch).alias("batch_id"), "ordinal", "fact_id", "type", "subject", "payload", "metadata", "tags").write.option("maxRecordsPerFile", FILE_FACTS).parquet(f"{log.path}/data/{batch}")
     log.files.delete(f"staged/{batch}")
     while True:
